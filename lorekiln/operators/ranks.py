@@ -28,3 +28,19 @@ def rank_in_buckets(df: DataFrame, group: Sequence[str], bucket: Column, order:
     same = [numbered[n] == offsets[n] for n in names]
     joined = numbered.join(offsets, [*same, numbered[cell].eqNullSafe(offsets["__c"])], "inner")
     return joined.select(*[numbered[c] for c in df.columns], (F.col(pos) + F.col(off)).cast("long").alias(name))
+
+
+def sum_before(df: DataFrame, group: Sequence[str], order: str, value: str, name: str, block: int = 1024) -> DataFrame:
+    """Add the sum of `value` over the rows of the group with a smaller `order`, a non-negative integer unique in its group.
+
+    The sum has two levels, blocks of `block` numbers and rows inside a block, so no task sorts more than a block or the
+    list of blocks of a group. Group columns must not be null. Null values count as 0.
+    """
+    rows = df.withColumn("__b", F.floor(F.col(order) / block))
+    v = F.coalesce(F.col(value), F.lit(0))
+    blocks = rows.groupBy(*group, "__b").agg(F.sum(v).alias("__s"))
+    earlier = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(*group, "__b", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__o"))
+    inside = Window.partitionBy(*group, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("__i", F.coalesce(F.sum(v).over(inside), F.lit(0)))
+    return summed.join(offsets, [*group, "__b"], "inner").select(*df.columns, (F.col("__i") + F.col("__o")).alias(name))
