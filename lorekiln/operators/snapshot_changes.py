@@ -51,7 +51,7 @@ def intervals(numbered: DataFrame) -> DataFrame:
     return (
         states.withColumn("island", island)
         .groupBy(*keys, "h", "island")
-        .agg(F.min("ord").alias("from_ord"), F.max("ord").alias("to_ord"), F.max_by("size_bytes", "ord").alias("size_bytes"))
+        .agg(F.min("ord").alias("from_ord"), F.max("ord").alias("to_ord"), F.min_by("size_bytes", "ord").alias("size_bytes"))
         .drop("island")
     )
 
