@@ -1 +1 @@
-
+"""Incremental indexing as a structured stream."""
