@@ -141,9 +141,8 @@ def sections_of(html: str) -> list[tuple[int, int | None, int, str, str, str]]:
     """(ord, parent_ord, level, id, title, markdown) of each headed section; what stands before the first heading has none."""
     root = clean_tree(html)
     main = first(root, MAIN) or root
-    out, open_: list = [], []
-    out = []
-    open_ = []
+    out: list[tuple] = []
+    open_: list[tuple[int, int]] = []
     for h in [n for n in main.walk() if re.fullmatch(r"h[1-6]", n.tag)]:
         level = int(h.tag[1])
         title = re.sub(r"\s+", " ", h.content()).strip()
