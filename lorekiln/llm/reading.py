@@ -45,6 +45,8 @@ LANGUAGES = {
     "es": frozenset("el la los las de que y en un una es por con del para".split()),
 }
 
+_LANGUAGES_OF = {w: [k for k, v in LANGUAGES.items() if w in v] for w in set().union(*LANGUAGES.values())}
+
 _FENCE = re.compile(r"^\s{0,3}(```|~~~)")
 _BLOCK_OPEN = re.compile(r"\\begin\{(verbatim|lstlisting|minted|equation|align|tabular)|<(pre|script|style|syntaxhighlight|source)\b", re.I)
 _BLOCK_SHUT = re.compile(r"\\end\{(verbatim|lstlisting|minted|equation|align|tabular)|</(pre|script|style|syntaxhighlight|source)>", re.I)
@@ -54,7 +56,12 @@ _NO_PROSE = re.compile(
 _QUOTED = re.compile(r"""^\s*(?:>|["“„«»‚'‘].*["”“»«’']\s*\.?\s*$)""")
 _INNER_QUOTE = re.compile(r"[\"“„«][^\"“”„«»]{40,}[\"”“»]")
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
-_NAMES = re.compile(r"`[^`]*`|\bhttps?://\S+|\b\w*[a-z]\w*[A-Z]\w*|\b\w+(?:[.\-_/]\w+)*[._/]\w+\S*")
+_NAMES = re.compile(r"`[^`]*`|\bhttps?://\S+|\b\w*[a-z0-9][A-Z]\w*|\b\w+(?:[.\-_/]\w+)*[._/]\w+\S*")
+_MAYBE_NAMES = re.compile(r"`|://|[a-z0-9][A-Z]|\w[._/]\w")
+_ENDED = re.compile(r"[.!?…。！？:,]\W*$")
+_LINES = re.compile(r"\r\n|\n|\r")
+_INDENT = re.compile(r" {4}|\t")
+_CLAUSE = re.compile("[,;—、]")
 _END = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
@@ -62,8 +69,11 @@ _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 def words_of(sentence: str) -> list[str]:
     """Lower-cased words; scripts without spaces count two characters a word."""
+    words = _WORD.findall(sentence.lower())
+    if sentence.isascii() or not _CJK.search(sentence):
+        return words
     out = []
-    for w in _WORD.findall(sentence.lower()):
+    for w in words:
         if _CJK.search(w):
             out += [w[i : i + 2] for i in range(0, len(w), 2)]
         else:
@@ -73,9 +83,13 @@ def words_of(sentence: str) -> list[str]:
 
 def prose_sentences(text: str) -> list[str]:
     """Sentences of the running text, without code, settings, tables, headings and quoted passages."""
+    return [s for s, _ in _prose(text)]
+
+
+def _prose(text: str) -> list[tuple[str, list[str]]]:
     lines: list[str] = []
     fence = block = False
-    for raw in re.split(r"\r\n|\n|\r", text):
+    for raw in _LINES.split(text):
         if _FENCE.match(raw):
             fence = not fence
             continue
@@ -89,7 +103,7 @@ def prose_sentences(text: str) -> list[str]:
             continue
         item = _BULLET.match(raw)
         line = raw[item.end() :] if item else raw
-        if not item and re.match(r"(?: {4}|\t)", raw):
+        if not item and _INDENT.match(raw):
             continue
         line = line.strip()
         if not line or _NO_PROSE.match(line) or _QUOTED.match(line):
@@ -98,36 +112,59 @@ def prose_sentences(text: str) -> list[str]:
     out = []
     for line in lines:
         for s in _END.split(line):
-            plain = _NAMES.sub(" ", s)
-            if len(words_of(plain)) >= 2 and re.search(r"[.!?…。！？:,]\W*$", s.strip()):
-                out.append(plain)
+            if not _ENDED.search(s):
+                continue
+            plain = _NAMES.sub(" ", s) if _MAYBE_NAMES.search(s) else s
+            words = words_of(plain)
+            if len(words) >= 2:
+                out.append((plain, words))
     return out
 
 
 def language_of(words: list[str]) -> str:
     """The language with most of its function words among `words`; `other` when fewer than one word in twenty is one."""
-    hits = {k: sum(w in v for w in words) for k, v in LANGUAGES.items()}
+    hits = dict.fromkeys(LANGUAGES, 0)
+    for w in words:
+        for k in _LANGUAGES_OF.get(w, ()):
+            hits[k] += 1
     best = max(hits, key=lambda k: (hits[k], k))
     return best if hits[best] * 20 > len(words) else "other"
 
 
+def moving_diversity(words: list[str], window: int = 40) -> float:
+    """Mean number of different words in all windows of so many words, by the root of the window; short texts are one window."""
+    n = len(words)
+    if n <= window:
+        return len(set(words)) / math.sqrt(n)
+    kinds = total = 0
+    inside: dict[str, int] = {}
+    for i, w in enumerate(words):
+        k = inside.get(w, 0)
+        kinds += not k
+        inside[w] = k + 1
+        if i >= window:
+            gone = words[i - window]
+            k = inside[gone] - 1
+            inside[gone] = k
+            kinds -= not k
+        if i >= window - 1:
+            total += kinds
+    return total / (n - window + 1) / math.sqrt(window)
+
+
 def sentence_features(text: str | None) -> tuple[str, list[float], list[str]] | None:
     """The language, the features but for rarity, and the distinct words; None for a text without prose."""
-    sentences = [(s, words_of(s)) for s in prose_sentences(text)] if text else []
+    sentences = _prose(text) if text else []
     if not sentences:
         return None
     per = []
     for s, w in sentences:
-        joins = sum(x in CONNECTIVES for x in w)
-        per.append((len(w), sum(map(len, w)) / len(w), sum(len(x) >= 10 for x in w) / len(w), joins / len(w), joins + sum(s.count(c) for c in ",;—、")))
+        n = len(w)
+        joins = len([x for x in w if x in CONNECTIVES])
+        long = len([x for x in w if len(x) >= 10])
+        per.append((n, sum(map(len, w)) / n, long / n, joins / n, joins + len(_CLAUSE.findall(s))))
     words = [x for _, w in sentences for x in w]
-    window = 40
-    if len(words) <= window:
-        diversity = len(set(words)) / math.sqrt(len(words))
-    else:
-        step = max(1, len(words) // 200)
-        at = range(0, len(words) - window + 1, step)
-        diversity = sum(len(set(words[i : i + window])) for i in at) / len(at) / math.sqrt(window)
+    diversity = moving_diversity(words)
     mid = [median(c) for c in zip(*per)]
     values = [mid[0], mid[1], mid[2], diversity, mid[3], mid[4], math.log(1 + len(words))]
     return language_of(words), values, sorted(set(words))
