@@ -15,7 +15,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, id, tf), lengths(id, dl) and terms(term, df, idf); `avgdl` and `documents` are one number each."""
+    """postings(term, id, tf, dl), lengths(id, dl) and terms(term, df, idf); `avgdl` and `documents` are one number each."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -52,7 +52,9 @@ def build_index(documents: DataFrame, key: str, text: str) -> Index:
     """The index of all documents; a null or tokenless text has length 0 and counts in the average. Keys are unique."""
     words = documents.select(F.col(key).alias("id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("w"))
     lengths = words.select("id", F.size("w").alias("dl"))
-    postings = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    # explode_outer keeps the optimizer from evaluating the pattern a second time in a filter on the size of its result
+    exploded = words.select("id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null")
+    postings = exploded.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     n, avg = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
     return Index(postings, lengths, term_statistics(postings, n), n, avg or 0.0)
 
@@ -80,7 +82,7 @@ def bm25_scores(index: Index, query: str) -> DataFrame:
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (index.avgdl or 1.0)))
     if weight is not None:
         part = part * F.try_element_at(weight, F.col("term"))
-    found = wanted.join(stats.select("term", "idf"), "term").join(index.lengths, "id").groupBy("id").agg(F.sum(part).alias("s"))
+    found = wanted.join(stats.select("term", "idf"), "term").groupBy("id").agg(F.sum(part).alias("s"))
     return index.lengths.select("id").join(found, "id", "left").select("id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
 
 

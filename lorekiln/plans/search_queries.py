@@ -13,7 +13,7 @@ from lorekiln.operators import lexical as L
 from lorekiln.operators import search as S
 from lorekiln.operators import wiki as W
 from lorekiln.session import ready
-from lorekiln.sources.tables import table
+from lorekiln.sources.tables import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -45,7 +45,7 @@ scores as (select lens.doc_id as id, round(coalesce(s, 0.0), 6) as score from le
 
 
 def _index(spark: SparkSession, root: str) -> L.Index:
-    return L.build_index(table(spark, root, "documents"), "doc_id", "text")
+    return L.build_index(spread(table(spark, root, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _vector(spark: SparkSession, root: str) -> list[float]:
@@ -148,7 +148,7 @@ def sparse_prune(spark: SparkSession, root: str) -> DataFrame:
 
 def _weights(spark: SparkSession, root: str) -> DataFrame:
     index = _index(spark, root)
-    return index.postings.join(index.lengths, "id").select("id", "term", F.round(F.col("tf") * 1.0 / F.col("dl"), 9).alias("weight"))
+    return index.postings.select("id", "term", F.round(F.col("tf") * 1.0 / F.col("dl"), 9).alias("weight"))
 
 
 @query(f"""with {_BM25}, {_DIST}, {_DOCS}, near as (select id, distance, row_number() over (order by distance, id) as rank from dist order by distance, id limit 20),
@@ -216,7 +216,7 @@ def chunk_fixed(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
     rows = table(ready(spark), root, "documents").where("text is not null").select(F.col("doc_id").alias("document_id"), F.col("text").alias("markdown"))
-    return K.chunk_markdown(rows, "xslim")
+    return K.chunk_markdown(spread(rows), "xslim")
 
 
 @query("""select distinct chunk_id, document_id, chunk_index, module, coalesce(submodule, '') as submodule, version_major, version_minor, content_type, section_path, has_code, false as has_deprecation,
