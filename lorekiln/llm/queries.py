@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from lorekiln.llm import boilerplate, distinctive, markup, packing, reading, score_fusion, splitting, tokenizing
 from lorekiln.session import ready
-from lorekiln.sources.tables import table
+from lorekiln.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    return markup.marked_chunks(table(ready(spark), root, "chunks"))
+    return markup.marked_chunks(spread(table(ready(spark), root, "chunks").select("chunk_id", "content")))
 
 
 def p1_clean(spark: SparkSession, root: str) -> DataFrame:
-    return markup.clean_chunks(table(ready(spark), root, "chunks")).distinct().select("chunk_id", "clean", "has_code")
+    return markup.clean_chunks(spread(table(ready(spark), root, "chunks").select("chunk_id", "content"))).distinct().select("chunk_id", "clean", "has_code")
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -60,44 +60,52 @@ def p5_body(spark: SparkSession, root: str) -> DataFrame:
     return boilerplate.page_bodies(table(ready(spark), root, "page_sections"))
 
 
+def _chunk_texts(spark: SparkSession, root: str) -> DataFrame:
+    return table(ready(spark), root, "chunks").select("chunk_id", "document_id", "section_path", "tier", "content")
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    pieces = splitting.split_oversized(table(ready(spark), root, "chunks"), table(spark, root, "vector_config"), only_oversized=True)
+    pieces = splitting.split_oversized(spread(_chunk_texts(spark, root)), table(spark, root, "vector_config"), only_oversized=True)
     return pieces.where("pieces > 1").select("chunk_id").distinct()
 
 
 def p7_pieces(spark: SparkSession, root: str) -> DataFrame:
-    return splitting.split_oversized(table(ready(spark), root, "chunks"), table(spark, root, "vector_config"))
+    return splitting.split_oversized(spread(_chunk_texts(spark, root)), table(spark, root, "vector_config"))
+
+
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    return spread(table(ready(spark), root, "documents").select("doc_id", "source", "text"))
 
 
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
-    return tokenizing.encode_texts(table(ready(spark), root, "documents"))
+    return tokenizing.encode_texts(_texts(spark, root))
 
 
 def p8_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, same): whether the decoded ids give the text back, null and empty texts both as an empty one."""
-    ids = tokenizing.encode_texts(table(ready(spark), root, "documents").select("doc_id", F.col("text")))
+    ids = tokenizing.encode_texts(_texts(spark, root))
     back = tokenizing.decode_ids(ids).withColumnRenamed("text", "back")
     given = table(spark, root, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return given.join(back, "doc_id").select("doc_id", (F.xxhash64("text") == F.xxhash64("back")).alias("same"))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
-    return packing.divided(packing.packed(table(ready(spark), root, "documents"), table(spark, root, "pack_limits")))
+    return packing.divided(packing.packed(_texts(spark, root), table(spark, root, "pack_limits")))
 
 
 def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     """(container, texts, tokens) of every container."""
-    placed = packing.packed(table(ready(spark), root, "documents"), table(spark, root, "pack_limits"))
+    placed = packing.packed(_texts(spark, root), table(spark, root, "pack_limits"))
     return placed.where("container is not null").groupBy("container").agg(F.count(F.lit(1)).alias("texts"), F.sum("tokens").alias("tokens"))
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    return reading.reading_levels(table(ready(spark), root, "documents"), table(spark, root, "reading_labels")).where("level = 4").select("doc_id")
+    return reading.reading_levels(_texts(spark, root), table(spark, root, "reading_labels")).where("level = 4").select("doc_id")
 
 
 def p10_levels(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, language, level) of each document with prose."""
-    return reading.reading_levels(table(ready(spark), root, "documents"), table(spark, root, "reading_labels")).select("doc_id", "language", "level")
+    return reading.reading_levels(_texts(spark, root), table(spark, root, "reading_labels")).select("doc_id", "language", "level")
 
 
 def queries() -> dict[str, Query]:
