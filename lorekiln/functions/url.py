@@ -75,3 +75,11 @@ def safe_path(path: Column) -> Column:
 
 def is_metadata_path(path: Column) -> Column:
     return path.rlike(r"(^|/)metadata\.json$|/metadata/[^/]*\.json$")
+
+
+def relative_path(key: Column, prefixes: list[str]) -> Column:
+    """A key without the first of the prefixes it begins with, else its last segment."""
+    out = F.element_at(F.split(key, "/"), -1)
+    for p in reversed(prefixes):
+        out = F.when(key.startswith(p), F.substr(key, F.lit(len(p) + 1))).otherwise(out)
+    return out

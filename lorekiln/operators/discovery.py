@@ -31,3 +31,11 @@ def discovery_counters(found: DataFrame, kept: DataFrame) -> DataFrame:
     n = kept.agg(F.count(F.lit(1)).alias("n")).scalar()
     a = found.agg(F.count(F.lit(1)).alias("total"), (F.count(F.lit(1)) - F.count_distinct("url")).alias("duplicates"))
     return a.select("total", "duplicates", n.alias("discovered"), F.greatest(F.lit(0), F.col("total") - n - F.col("duplicates")).alias("filtered"))
+
+
+def scrape_targets(found: DataFrame, module: str, version: str, submodule: str | None = None, content_type: str = "reference") -> DataFrame:
+    """Discovered pages as jobs: id, url, module, submodule, version, content_type, depth."""
+    return found.select(
+        F.substring(F.sha2(F.encode("url", "UTF-8"), 256), 1, 16).alias("id"), "url", F.lit(module).alias("module"), F.lit(submodule).cast("string").alias("submodule"),
+        F.lit(version).alias("version"), F.lit(content_type).alias("content_type"), "depth",
+    )

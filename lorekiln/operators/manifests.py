@@ -18,6 +18,11 @@ def build_manifest(files: DataFrame, by: list[str]) -> DataFrame:
     return files.groupBy(*by).agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size_bytes"), pack_hash(F.col("content_hash")).alias("pack_hash"))
 
 
+def manifest_hash(document: Column) -> Column:
+    """Hash of a manifest struct in one canonical form: its fields as JSON, in the order of the struct, nulls left out."""
+    return F.sha2(F.encode(F.to_json(document), "UTF-8"), 256)
+
+
 def manifest_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, change_type, old_hash, new_hash, size_bytes of all paths whose state differs; one full outer join on path.
 

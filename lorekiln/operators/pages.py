@@ -263,3 +263,33 @@ def sufficient(html: Column) -> Column:
         return pd.Series([h is not None and any(n.content().strip() for n in select(parse(h), ", ".join(MAIN))) for h in pages])
 
     return check(html)
+
+
+_PARSED = "url string, title string, version string, markdown string, error string"
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """(url, title, version, markdown, content_hash, error) of each page; what is missing is named in `error`, never raised.
+
+    The version is that of a version label, else of a `/x.y.z/` segment of the address. A page without content has an error
+    and a null markdown; a null page likewise.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for url, html in b.itertuples(index=False):
+                if html is None or not html.strip():
+                    rows.append((url, None, None, None, "empty page"))
+                    continue
+                root = parse(html)
+                label = next((n.content().strip() for s in VERSION for n in select(root, s) if n.content().strip()), None)
+                found = re.search(r"/(\d+\.\d+(?:\.\d+)?[^/]*)/", url or "")
+                version = label or (found.group(1) if found else None)
+                markdown = page_markdown(html) or None
+                error = "no content" if markdown is None else "no version" if version is None else None
+                rows.append((url, title_of(root, url), version, markdown, error))
+            yield pd.DataFrame(rows, columns=["url", "title", "version", "markdown", "error"])
+
+    parsed = pages.select("url", "html").mapInPandas(run, _PARSED)
+    return parsed.withColumn("title", sanitize_title(F.col("title"))).withColumn("content_hash", F.sha2(F.encode("markdown", "UTF-8"), 256))

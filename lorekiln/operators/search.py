@@ -59,3 +59,17 @@ def native_hybrid(vectors: DataFrame, weights: DataFrame, documents: DataFrame,
     rows = ranked.select("id", F.round(score, 9).alias("score"), "dense_rank", F.when(hit, F.col("by_sparse")).alias("sparse_rank"))
     joined = documents.join(F.broadcast(rows), "id", "inner")
     return finish(one_per_url(joined) if dedup else joined, k)
+
+
+def unknown_module(chunks: DataFrame, module: str) -> bool:
+    """Whether some modules are indexed and the given one is not."""
+    return not chunks.isEmpty() and chunks.where(F.col("module") == module).isEmpty()
+
+
+def format_text(most: int = 500):
+    """A result as plain text: place, title, score, address and the content, cut after `most` characters."""
+    content = F.when(F.length("content") > most, F.concat(F.substring("content", 1, most), F.lit("..."))).otherwise(F.col("content"))
+    return F.concat(
+        F.lit("["), F.col("place").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit(" ("), F.format_string("%.4f", "score"), F.lit(")\n"),
+        F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce(content, F.lit("")),
+    )

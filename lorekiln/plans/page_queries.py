@@ -60,6 +60,11 @@ def section_counts(spark: SparkSession, root: str) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("sections"), F.count_distinct("url").alias("pages"))
 
 
+@query()
+def parsed_pages(spark: SparkSession, root: str) -> DataFrame:
+    return pages.parse_pages(html_pages(ready(spark), root))
+
+
 @query()
 def page_links(spark: SparkSession, root: str) -> DataFrame:
     return pages.page_links(html_pages(ready(spark), root))

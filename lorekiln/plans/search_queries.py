@@ -259,3 +259,21 @@ def logged_ranking(spark: SparkSession, root: str) -> DataFrame:
     bucket = -F.floor(F.coalesce(F.col("score"), F.lit(-1e9)))
     ranked = rank_in_buckets(one, ["query_id"], bucket, [F.col("score").desc_nulls_last(), F.col("doc_id")], "place")
     return ranked.select("query_id", "doc_id", F.col("place").cast("int").alias("place"))
+
+
+@query()
+def embedded_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Vectors of all chunks by the deterministic stand-in strategy."""
+    from lorekiln.operators.embedding import embed, hashing_strategy
+
+    rows = table(ready(spark), root, "chunks").select("chunk_id", "content").distinct()
+    return embed(rows, "chunk_id", "content", hashing_strategy(32))
+
+
+@query("""with one as (select chunk_id, module, coalesce(submodule, '') as submodule, version_major from chunks group by all)
+select chunk_id from one where not (module = 'spring-boot' and submodule = '' and version_major = 4)""")
+def vectors_deleted(spark: SparkSession, root: str) -> DataFrame:
+    from lorekiln.operators.embedding import delete_vectors
+
+    rows = table(spark, root, "chunks").select("chunk_id", "module", F.coalesce("submodule", F.lit("")).alias("submodule"), "version_major").distinct()
+    return delete_vectors(rows, module="spring-boot", major=4).select("chunk_id")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from lorekiln.functions import text as T
 from lorekiln.functions import url as U
 from lorekiln.functions import version as V
-from lorekiln.operators import apidoc, catalog, chunking, dense, fusion, lexical, manifests, pages, search, wiki
+from lorekiln.operators import activation, apidoc, catalog, chunking, dense, fusion, lexical, manifests, pages, search, wiki
 from lorekiln.operators.discovery import discover
+from lorekiln.operators.embedding import delete_vectors, embed, hashing_strategy, upsert_vectors
 from lorekiln.operators.dom import parse, select
 from lorekiln.sources import registry
 from lorekiln.streaming.indexing import latest_chunks, stream_chunks
@@ -244,3 +245,36 @@ def test_stream(spark, tmp_path):
     stream_chunks(spark, src, out, ck, schema)
     stream_chunks(spark, src, out, ck, schema)
     assert {(r.document_id, r.section_path) for r in latest_chunks(spark, out).collect()} == {("a", "A"), ("a", "A > C"), ("b", "B")}
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([("a", "x y"), ("b", None), ("c", "x y")], "id string, text string")
+    got = {r.id: list(r.embedding) for r in embed(df, "id", "text", hashing_strategy(8), batch=2).collect()}
+    assert got["a"] == got["c"] and abs(sum(x * x for x in got["a"]) - 1) < 1e-6 and got["b"] == [0.0] * 8
+    v = spark.createDataFrame([("a", "m", "", 1), ("b", "m", "s", 1), ("c", None, None, None)], "id string, module string, submodule string, version_major int")
+    new = spark.createDataFrame([("a", "m", "", 2), ("z", "m", "", 2)], v.schema)
+    assert {tuple(r) for r in upsert_vectors(v, new, "id").collect()} == {("a", "m", "", 2), ("z", "m", "", 2), ("b", "m", "s", 1), ("c", None, None, None)}
+    assert {r.id for r in delete_vectors(v, module="m").collect()} == {"b", "c"} and delete_vectors(v, v.select("id")).count() == 0
+    assert search.unknown_module(v, "q") and not search.unknown_module(v, "m") and not search.unknown_module(v.limit(0), "q")
+
+
+def test_activation(spark, tmp_path):
+    new, now = str(tmp_path / "new"), str(tmp_path / "now")
+    for path, n in ((new, 2), (now, 1)):
+        spark.range(n).write.parquet(path)
+    activation.activate(spark, new, now)
+    assert spark.read.parquet(now).count() == 2 and not (tmp_path / "new").exists() and not (tmp_path / "now.before").exists()
+    with pytest.raises(FileNotFoundError):
+        activation.activate(spark, new, now)
+    assert spark.read.parquet(now).count() == 2
+    m = spark.createDataFrame([("a/b", 1, False), ("/x", 1, False), ("a/../../b", 1, False), ("l", 1, True), (None, None, None)], "name string, size_bytes bigint, is_link boolean")
+    bad, good = activation.archive_verdict(m).first(), activation.archive_verdict(m.limit(1)).first()
+    assert (bad.problems, bad.safe) == (4, False) and good.safe
+
+
+def test_parse_pages(spark):
+    df = spark.createDataFrame([("https://d.x/4.0.1/g", "<main>x <span class=version>4.0.5</span></main>"), ("https://d.x/4.1/g.html", "<main>y</main>"), ("u", None), ("v", "<main> </main>"), ("w", "<main>z</main>")], "url string, html string")
+    got = {r.url: (r.version, r.error) for r in pages.parse_pages(df).collect()}
+    assert got == {"https://d.x/4.0.1/g": ("4.0.5", None), "https://d.x/4.1/g.html": ("4.1", None), "u": (None, "empty page"), "v": (None, "no content"), "w": (None, "no version")}
+    assert one(spark, U.relative_path(F.col("k"), ["a/b/", "a/"]), k="a/b/c/d") == "c/d" and one(spark, U.relative_path(F.col("k"), ["z/"]), k="a/b/c") == "c"
+    assert one(spark, manifests.manifest_hash(F.struct(F.col("k"))), k="x") == one(spark, F.sha2(F.lit('{"k":"x"}'), 256), k="x")
