@@ -13,40 +13,47 @@ TARGET = ("module", "submodule", "version")
 
 
 def read_snapshots(manifests: DataFrame) -> DataFrame:
-    """One row per readable snapshot: target columns, manifest_hash, generated_at, files.
+    """The readable deliveries: target columns, key, manifest_hash, generated_at, files.
 
-    A delivery is unreadable when its JSON does not parse, has no files list or no valid generated_at; such rows are passed
-    over, so a snapshot survives as long as one of its deliveries is readable. Of several readable deliveries of a hash the
-    earliest generated_at counts. Null targets are targets of their own. Extra columns are ignored.
+    A delivery is unreadable when its JSON does not parse, has no files list or no valid generated_at, or when it has no
+    manifest_hash; such rows are passed over, so a snapshot survives as long as one of its deliveries is readable. Null
+    targets are targets of their own. Extra columns are ignored.
     """
     doc = F.from_json("manifest_json", MANIFEST, {"columnNameOfCorruptRecord": "_bad"})
-    parsed = manifests.select(*TARGET, F.lower(F.trim("manifest_hash")).alias("key"), "manifest_hash", doc.alias("d"))
-    good = parsed.where("d is not null and d._bad is null and d.files is not null and manifest_hash is not null").select(
+    parsed = manifests.where("manifest_hash is not null").select(*TARGET, F.lower(F.trim("manifest_hash")).alias("key"), "manifest_hash", doc.alias("d"))
+    good = parsed.where("d is not null and d._bad is null and d.files is not null").select(
         *TARGET, "key", "manifest_hash", F.expr("try_cast(d.generated_at as timestamp)").alias("generated_at"), F.col("d.files").alias("files")
     )
-    one = good.where("generated_at is not null").groupBy(*TARGET, "key").agg(
-        F.min(F.struct("generated_at", "manifest_hash", "files")).alias("s")
-    )
-    return one.select(*TARGET, F.col("s.manifest_hash").alias("manifest_hash"), F.col("s.generated_at").alias("generated_at"), F.col("s.files").alias("files"))
+    return good.where("generated_at is not null")
+
 
+def number_snapshots(deliveries: DataFrame) -> DataFrame:
+    """One row per snapshot: target, key, manifest_hash, generated_at, `ord` (1, 2, ...) in the order of generated_at.
 
-def number_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Add `ord` (1, 2, ...) in the order of generated_at within each target; ties go by manifest_hash."""
+    Of several deliveries of a hash the earliest generated_at counts; ties between snapshots go by manifest_hash. File lists
+    stay out of it, so what is sorted are short rows, in cells of a target and a day.
+    """
+    heads = deliveries.groupBy(*TARGET, "key").agg(F.min(F.struct("generated_at", "manifest_hash")).alias("s"))
+    heads = heads.select(*TARGET, "key", "s.manifest_hash", "s.generated_at")
     day = F.date_trunc("day", F.col("generated_at"))
-    return rank_in_buckets(snapshots, TARGET, day, [F.col("generated_at"), F.col("manifest_hash")], "ord")
+    return rank_in_buckets(heads, TARGET, day, [F.col("generated_at"), F.col("manifest_hash")], "ord")
 
 
-def intervals(numbered: DataFrame) -> DataFrame:
-    """Validity intervals: target, path, content_hash, size_bytes, from_ord, to_ord.
+def intervals(deliveries: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Validity intervals: target, path, h, size_bytes, from_ord, to_ord.
 
     A file listed twice in a snapshot counts once (the smallest hash, should they differ); hashes compare in lower case;
-    a null hash is a state of its own; entries without a path are ignored.
+    a null hash is a state of its own; entries without a path are ignored. File rows are hashed once, by target and path,
+    which serves the deduplication, the islands and the later windows alike.
     """
     keys = [*TARGET, "path"]
-    listed = numbered.select(*TARGET, "ord", F.explode("files").alias("f")).select(
-        *TARGET, "ord", F.col("f.path").alias("path"), F.coalesce(F.lower("f.content_hash"), F.lit("")).alias("h"), F.col("f.size_bytes").alias("size_bytes")
+    listed = deliveries.select(*TARGET, "key", F.explode("files").alias("f")).select(
+        *TARGET, "key", F.col("f.path").alias("path"), F.coalesce(F.lower("f.content_hash"), F.lit("")).alias("h"), F.col("f.size_bytes").alias("size_bytes")
     )
-    states = listed.where("path is not null").groupBy(*keys, "ord").agg(F.min(F.struct("h", "size_bytes")).alias("s")).select(*keys, "ord", "s.h", "s.size_bytes")
+    heads = numbered.select(*[F.col(c).alias(f"n_{c}") for c in TARGET], F.col("key").alias("n_key"), "ord")
+    same = [listed[c].eqNullSafe(heads[f"n_{c}"]) for c in TARGET]
+    placed = listed.where("path is not null").join(heads, [*same, listed["key"] == heads["n_key"]], "inner")
+    states = placed.repartition(*keys).groupBy(*keys, "ord").agg(F.min(F.struct("h", "size_bytes")).alias("s")).select(*keys, "ord", "s.h", "s.size_bytes")
     island = F.col("ord") - F.row_number().over(Window.partitionBy(*keys, "h").orderBy("ord"))
     return (
         states.withColumn("island", island)
@@ -64,8 +71,9 @@ def snapshot_changes(manifests: DataFrame) -> DataFrame:
     An interval that starts right where another of the same path ended is a modification, any other start after the first
     snapshot an addition; an end before the last snapshot without such a start is a removal.
     """
-    numbered = number_snapshots(read_snapshots(manifests))
-    spans = intervals(numbered)
+    deliveries = read_snapshots(manifests)
+    numbered = number_snapshots(deliveries)
+    spans = intervals(deliveries, numbered)
     by_path = Window.partitionBy(*TARGET, "path").orderBy("from_ord")
     seen = spans.select(
         "*",
