@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.operators.ranks import rank_in_buckets
+from lorekiln.session import settled
 
 #: 1 / 1.4826 makes the deviation comparable with a standard deviation for normally distributed scores.
 MAD_SCALE = 1.4826
@@ -65,7 +66,7 @@ def bounded_scores(candidates: DataFrame, scores: tuple[str, ...] = SCORES) -> D
 
 
 def fused_score(weights: Mapping[str, float]) -> Column:
-    """Weighted geometric mean of the units, 0 as soon as one unit with a positive weight is 0."""
+    """Weighted geometric mean of the units to 12 places, 0 as soon as one unit with a positive weight is 0."""
     total = float(sum(weights.values()))
     some_zero = F.lit(False)
     logs = F.lit(0.0)
@@ -73,7 +74,7 @@ def fused_score(weights: Mapping[str, float]) -> Column:
         if w > 0:
             some_zero = some_zero | (F.col(f"{s}_unit") <= 0)
             logs = logs + F.log(F.col(f"{s}_unit")) * (w / total)
-    return F.when(some_zero, 0.0).otherwise(F.exp(logs))
+    return F.when(some_zero, 0.0).otherwise(F.round(F.exp(logs), 12))
 
 
 def fuse_scores(candidates: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
@@ -83,8 +84,12 @@ def fuse_scores(candidates: DataFrame, weights: Mapping[str, float] | None = Non
 
 
 def rank_fused(candidates: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """fuse_scores with `rank` 1, 2, ... within the query (ties by chunk_id); a hot query is ranked in 256 score buckets."""
-    fused = fuse_scores(candidates, weights)
+    """fuse_scores with `rank` 1, 2, ... within the query (ties by chunk_id); a hot query is ranked in 256 score buckets.
+
+    The fused rows are written once: quantile sketches of large queries depend on the order of merging, so the branches of
+    the ranking must not compute them anew.
+    """
+    fused = settled(fuse_scores(candidates, weights), "fused")
     order = [F.col("fused").desc(), F.col("chunk_id").asc_nulls_last()]
     return rank_in_buckets(fused, ["query_id"], -F.floor(F.col("fused") * 256), order, "rank")
 
@@ -107,12 +112,12 @@ def head_candidates(candidates: DataFrame, k: int = 3) -> DataFrame:
     value reaches the geometric mean of these two. Only rows above that floor (with a slack for rounding) are compared
     exactly, by the raw scores. A candidate with a missing score is no case; queries with fewer than k scores have no floor.
     """
-    rows = fuse_scores(candidates)
-    floor = rows
-    for column, name in (("dense_score", "__d3"), ("sparse_score", "__s3")):
-        # the unit never falls as the score rises, so the k-th highest unit comes with the k-th highest score
-        floor = _per_query(floor, kth_highest(rows, column, f"{column}_unit", name, k))
+    rows = settled(fuse_scores(candidates), "fused")
+    # the unit never falls as the score rises, so the k-th highest unit comes with the k-th highest score
+    dense, sparse = (kth_highest(rows, c, f"{c}_unit", n, k) for c, n in (("dense_score", "__d3"), ("sparse_score", "__s3")))
+    both = dense.unionByName(sparse, allowMissingColumns=True).groupBy("query_id").agg(*[F.max(c).alias(c) for c in ("__d3", "__d3_unit", "__s3", "__s3_unit")])
+    floor = _per_query(rows, both)
     reach = F.sqrt(F.coalesce(F.col("__d3_unit"), F.lit(0.0)) * F.coalesce(F.col("__s3_unit"), F.lit(0.0)))
-    likely = floor.where((F.col("fused") >= reach * (1 - 1e-9)) & F.col("dense_score").isNotNull() & F.col("sparse_score").isNotNull())
+    likely = floor.where((F.col("fused") >= reach * (1 - 1e-9) - 1e-11) & F.col("dense_score").isNotNull() & F.col("sparse_score").isNotNull())
     exact = (F.col("__d3").isNull() | (F.col("dense_score") >= F.col("__d3"))) & (F.col("__s3").isNull() | (F.col("sparse_score") >= F.col("__s3")))
     return likely.where(exact).select("query_id", "chunk_id")
