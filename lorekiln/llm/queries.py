@@ -133,6 +133,28 @@ latest as (select *, row_number() over (partition by query_id, chunk_id order by
 ranked as (select query_id, chunk_id, d, s, rank() over (partition by query_id order by d desc nulls last) as rd,
          rank() over (partition by query_id order by s desc nulls last) as rs from latest where r = 1)
 select query_id, chunk_id from ranked where d is not null and s is not null and rd <= 3 and rs <= 3""",
+    "p2_ranking": """
+with clean as (
+  select query_id, chunk_id, scored_at, case when isnan(dense_score) then null else dense_score end as d,
+         case when isnan(sparse_score) then null else sparse_score end as s from search_candidates),
+latest as (select query_id, chunk_id, d, s from (select *, row_number() over (partition by query_id, chunk_id order by scored_at desc nulls last, d desc nulls last, s desc nulls last) as r from clean) where r = 1),
+mid as (select query_id, quantile_disc(d, 0.5) as dm, quantile_disc(s, 0.5) as sm from latest group by query_id),
+spread as (select query_id, any_value(dm) as dm, any_value(sm) as sm, quantile_disc(abs(d - dm), 0.5) as dd, avg(abs(d - dm)) as da, quantile_disc(abs(s - sm), 0.5) as sd, avg(abs(s - sm)) as sa
+  from latest join mid using (query_id) group by query_id),
+z as (select query_id, chunk_id, d, s, (d - dm) / nullif(case when dd > 0 then dd * 1.4826 else da end, 0) as zd, (s - sm) / nullif(case when sd > 0 then sd * 1.4826 else sa end, 0) as zs, dm, sm from latest join spread using (query_id)),
+unit as (select query_id, chunk_id,
+  case when d is null then 0.0 when zd is null then case when d > dm then 1.0 when d < dm then 0.0 else 0.5 end else 1.0 / (1.0 + exp(-zd)) end as ud,
+  case when s is null then 0.0 when zs is null then case when s > sm then 1.0 when s < sm then 0.0 else 0.5 end else 1.0 / (1.0 + exp(-zs)) end as us from z),
+fused as (select query_id, chunk_id, case when ud <= 0 or us <= 0 then 0.0 else round(exp(0.5 * ln(ud) + 0.5 * ln(us)), 12) end as f from unit)
+select query_id, chunk_id, round(f, 6) as fused, row_number() over (partition by query_id order by f desc, chunk_id) as rank from fused""",
+    "p3_logged_terms": _TERMS + rf"""
+, lengths as (select chunk_id, document_id, sum(n) as length from counts group by all),
+whole as (select sum(length) as tokens, sum(pow(length, 0.75)) as contexts from lengths),
+weights as (select chunk_id, term, max(greatest(0.0, ln((n / tokens) / ((total / tokens) * (pow(length, 0.75) / contexts))))) as weight
+  from counts join stats using (term) join lengths using (chunk_id, document_id), whole group by all),
+asked as (select distinct query_id, doc_id, score, unnest(regexp_extract_all(query, '{_TOKENS}')) as term
+  from (select query_id, lower(query) as query, doc_id, max(score) as score from bm25_results where doc_id is not null group by all))
+select query_id, doc_id, a.term, score, round(coalesce(weight, 0.0), 6) as weight from asked a left join weights w on w.chunk_id = a.doc_id and w.term = a.term""",
     "p3_found": _TERMS + r"""
 select distinct chunk_id, term from counts join stats using (term)
 where n >= 3 and documents between 2 and 6 and length(term) >= 6 and regexp_full_match(term, '\p{L}+')""",
