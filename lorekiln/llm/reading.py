@@ -55,14 +55,16 @@ _NO_PROSE = re.compile(
 )
 _QUOTED = re.compile(r"""^\s*(?:>|["“„«»‚'‘].*["”“»«’']\s*\.?\s*$)""")
 _INNER_QUOTE = re.compile(r"[\"“„«][^\"“”„«»]{40,}[\"”“»]")
+_QUOTE_MARK = re.compile("[\"“„«]")
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
 _NAMES = re.compile(r"`[^`]*`|\bhttps?://\S+|\b\w*[a-z0-9][A-Z]\w*|\b\w+(?:[.\-_/]\w+)*[._/]\w+\S*")
 _MAYBE_NAMES = re.compile(r"`|://|[a-z0-9][A-Z]|\w[._/]\w")
-_ENDED = re.compile(r"[.!?…。！？:,]\W*$")
+_ENDS, _AFTER_END = frozenset(".!?…。！？:,"), " \t\u3000\"'”’»)]*_`"
 _LINES = re.compile(r"\r\n|\n|\r")
 _INDENT = re.compile(r" {4}|\t")
 _CLAUSE = re.compile("[,;—、]")
-_END = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+_END = re.compile(r"(?<=[.!?…])\s+")
+_END_CJK = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
@@ -108,11 +110,12 @@ def _prose(text: str) -> list[tuple[str, list[str]]]:
         line = line.strip()
         if not line or _NO_PROSE.match(line) or _QUOTED.match(line):
             continue
-        lines.append(_INNER_QUOTE.sub(" ", line))
+        lines.append(_INNER_QUOTE.sub(" ", line) if _QUOTE_MARK.search(line) else line)
     out = []
     for line in lines:
-        for s in _END.split(line):
-            if not _ENDED.search(s):
+        for s in (_END if line.isascii() else _END_CJK).split(line):
+            bare = s.rstrip(_AFTER_END)
+            if not bare or bare[-1] not in _ENDS:
                 continue
             plain = _NAMES.sub(" ", s) if _MAYBE_NAMES.search(s) else s
             words = words_of(plain)
@@ -160,14 +163,15 @@ def sentence_features(text: str | None) -> tuple[str, list[float], list[str]] |
     per = []
     for s, w in sentences:
         n = len(w)
+        sizes = list(map(len, w))
         joins = len([x for x in w if x in CONNECTIVES])
-        long = len([x for x in w if len(x) >= 10])
-        per.append((n, sum(map(len, w)) / n, long / n, joins / n, joins + len(_CLAUSE.findall(s))))
+        long = len([k for k in sizes if k >= 10])
+        per.append((n, sum(sizes) / n, long / n, joins / n, joins + len(_CLAUSE.findall(s))))
     words = [x for _, w in sentences for x in w]
     diversity = moving_diversity(words)
     mid = [median(c) for c in zip(*per)]
     values = [mid[0], mid[1], mid[2], diversity, mid[3], mid[4], math.log(1 + len(words))]
-    return language_of(words), values, sorted(set(words))
+    return language_of(words), values, list(dict.fromkeys(words))
 
 
 def prose_features(documents: DataFrame) -> DataFrame:
