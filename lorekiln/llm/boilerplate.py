@@ -209,7 +209,7 @@ def compared_lines(sections: DataFrame) -> DataFrame:
     rows = page_rows(sections).withColumn("dir", F.regexp_replace("path", r"[^/]*$", ""))
     per_dir = rows.groupBy("host", "dir").agg(F.approx_count_distinct("path").alias("d"))
     per_host = per_dir.groupBy("host").agg(F.sum("d").alias("h"))
-    sized = rows.join(per_dir, ["host", "dir"]).join(per_host, "host")
+    sized = rows.join(per_dir.join(per_host, "host"), ["host", "dir"])
     small = F.col("h") <= PAGES_PER_CELL
     # small directories of a large host share cells by hash, so that they still meet others
     few = F.pmod(F.xxhash64("dir"), F.greatest(F.lit(1), F.ceil(F.col("h") / PAGES_PER_CELL)))
