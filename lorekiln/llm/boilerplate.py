@@ -165,7 +165,9 @@ def _cell_lines(cell: pd.DataFrame) -> pd.DataFrame:
     host = cell["host"].iloc[0]
     brand = site_name(host)
     pages: dict = {}
-    for r in cell.sort_values(["path", "page_id", "section_ord"]).itertuples(index=False):
+    order = ["path", "page_id", "section_ord", "scraped_at", "title", "content"]
+    once = cell.sort_values(order).drop_duplicates(["page_id", "section_ord"], keep="last")
+    for r in once.itertuples(index=False):
         pages.setdefault((r.path, r.page_id), []).append(r)
     titles = {title_form(r.title) for rows in pages.values() for r in rows if r.title and r.title.strip()}
     titles = {t for t in titles if t.count(" ") >= 1}
@@ -189,24 +191,25 @@ def _cell_lines(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["page_id", "section_ord", "line_no", "ord", "form", "title_form", "page", "stem", "parts", "learn", "shared", "alike", "sentence", "heads"])
 
 
-def page_rows(sections: DataFrame) -> DataFrame:
-    """One row per page and section with host and path; of repeats one counts. A null url is a host of its own."""
-    once = sections.where("page_id is not null").groupBy("page_id", "section_ord").agg(
-        F.max(F.struct("scraped_at", "url", "title", "content")).alias("r")
-    )
-    url = F.coalesce(F.col("r.url"), F.lit(""))
+def _place(sections: DataFrame) -> DataFrame:
+    """The sections with host and path of their url; a null url is a host of its own. Rows without page_id are left out."""
+    url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:\w+:)?//([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:\w+:)?(?://[^/?#]*)?([^?#]*)", 1), r"/+$", "")
-    return once.select("page_id", "section_ord", "r.title", "r.content", host.alias("host"), path.alias("path"))
+    rows = sections.where("page_id is not null")
+    return rows.select("page_id", "section_ord", "scraped_at", "title", "content", host.alias("host"), path.alias("path"))
 
 
 def compared_lines(sections: DataFrame) -> DataFrame:
     """The non-blank lines of all pages with their form and what the comparison with the nearest pages says.
 
+    Forms leave as 64-bit hashes, since all that follows only groups and joins by them. Of repeated rows of a page's section
+    the latest counts, which is settled inside the cell, so texts are shuffled once.
+
     Cells are counted before they are made: a host of up to PAGES_PER_CELL pages is one cell; a larger one is cut by the
     directory of the path and, where a directory is large, by the hash of the path, so no task gets an unbounded host.
     """
-    rows = page_rows(sections).withColumn("dir", F.regexp_replace("path", r"[^/]*$", ""))
+    rows = _place(sections).withColumn("dir", F.regexp_replace("path", r"[^/]*$", ""))
     per_dir = rows.groupBy("host", "dir").agg(F.approx_count_distinct("path").alias("d"))
     per_host = per_dir.groupBy("host").agg(F.sum("d").alias("h"))
     sized = rows.join(per_dir.join(per_host, "host"), ["host", "dir"])
@@ -216,8 +219,10 @@ def compared_lines(sections: DataFrame) -> DataFrame:
     many = F.pmod(F.xxhash64("path"), F.ceil(F.col("d") / PAGES_PER_CELL))
     tiny = F.col("d") < 20
     cell = F.when(small, F.lit("")).when(tiny, F.concat(F.lit("~"), few)).otherwise(F.concat_ws("#", F.col("dir"), many))
-    keyed = sized.select("host", cell.alias("cell"), "path", "page_id", "section_ord", "title", "content")
-    return keyed.groupBy("host", "cell").applyInPandas(_cell_lines, _LINES)
+    keyed = sized.select("host", cell.alias("cell"), "path", "page_id", "section_ord", "scraped_at", "title", "content")
+    lines = keyed.groupBy("host", "cell").applyInPandas(_cell_lines, _LINES)
+    stem = F.when(F.col("stem").isNotNull(), F.xxhash64("stem"))
+    return lines.withColumns({"form": F.xxhash64("form"), "title_form": F.xxhash64("title_form"), "stem": stem, "parts": F.transform("parts", lambda p: F.xxhash64(p))})
 
 
 def outside_body(lines: DataFrame) -> DataFrame:
@@ -278,7 +283,7 @@ def menu_lines(lines: DataFrame, forms: DataFrame, titled: DataFrame) -> DataFra
     parts = lines.where(F.size("parts") > 1).select("page_id", "section_ord", "line_no", F.size("parts").alias("n"), F.explode("parts").alias("form"))
     known = _look_up(parts, forms.where("not heads_list").select("form", F.lit(1).alias("t")), "form")
     known = _look_up(known.withColumnRenamed("form", "title_form"), titled, "title_form")
-    title = F.when(F.col("t").isNull() & (F.col("is_title").isNotNull() | (F.col("title_form") == "~")), 1)
+    title = F.when(F.col("t").isNull() & (F.col("is_title").isNotNull() | (F.col("title_form") == F.xxhash64(F.lit("~")))), 1)
     counted = known.groupBy("page_id", "section_ord", "line_no", "n").agg(F.count("t").alias("t"), F.count(title).alias("p"))
     return counted.where("t >= 1 and 2 * (t + p) >= n").select("page_id", "section_ord", "line_no")
 
@@ -288,13 +293,14 @@ def _titles(titles: DataFrame) -> DataFrame:
     t = F.regexp_replace(F.trim("title"), r"^(?:[•·▪‣◦»›*+\-–—]\s+)+", "")
     t = F.regexp_replace(t, r"(?U)\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b", "~")
     t = F.regexp_replace(F.lower(t), r"(?U)\d+", "#")
-    return titles.select(t.alias("title_form")).where(F.instr("title_form", " ") > 0)
+    return titles.select(t.alias("t")).where(F.instr("t", " ") > 0).select(F.xxhash64("t").alias("title_form"))
 
 
 def page_bodies(sections: DataFrame) -> DataFrame:
     """(page_id, section_ord, body): the text of each section without its boilerplate lines; blank lines stay."""
     bad = boilerplate_lines(sections).groupBy("page_id", "section_ord").agg(F.collect_set("line_no").alias("bad"))
-    rows = page_rows(sections).select("page_id", "section_ord", "content")
+    latest = F.max(F.struct("scraped_at", "title", "content"))
+    rows = sections.where("page_id is not null").groupBy("page_id", "section_ord").agg(latest.alias("r")).select("page_id", "section_ord", "r.content")
     lines = F.split(F.col("content"), "\n")
     numbered = F.transform(lines, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
     kept = F.filter(numbered, lambda s: ~F.coalesce(F.array_contains("bad", s["i"]), F.lit(False)))
