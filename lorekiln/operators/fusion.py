@@ -15,11 +15,15 @@ def reciprocal(rank: Column, weight: float = 1.0) -> Column:
     return F.lit(float(weight)) / (F.lit(float(RRF_K)) + rank)
 
 
-def fuse(dense: DataFrame, sparse: DataFrame, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """(id, score, dense_rank, sparse_rank) from two rankings (id, rank): sums of reciprocal ranks, rounded to 9 places."""
+def fuse(dense: DataFrame, sparse: DataFrame, weights: tuple[float, float] = (1.0, 1.0), short: bool = False) -> DataFrame:
+    """(id, score, dense_rank, sparse_rank) from two rankings (id, rank): sums of reciprocal ranks, rounded to 9 places.
+
+    With `short` both are known to be a few rows (the heads of rankings) and are fused in one task without a shuffle.
+    """
     d = dense.select("id", F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias("sparse_rank"))
     s = sparse.select("id", F.lit(None).cast("int").alias("dense_rank"), F.col("rank").alias("sparse_rank"))
-    one = d.unionByName(s).groupBy("id").agg(F.min("dense_rank").alias("dense_rank"), F.min("sparse_rank").alias("sparse_rank"))
+    both = d.unionByName(s)
+    one = (both.coalesce(1) if short else both).groupBy("id").agg(F.min("dense_rank").alias("dense_rank"), F.min("sparse_rank").alias("sparse_rank"))
     score = F.coalesce(reciprocal(F.col("dense_rank"), weights[0]), F.lit(0.0)) + F.coalesce(reciprocal(F.col("sparse_rank"), weights[1]), F.lit(0.0))
     return one.select("id", F.round(score, 9).alias("score"), "dense_rank", "sparse_rank")
 

@@ -41,8 +41,8 @@ def hybrid(index: Index, vectors: DataFrame, documents: DataFrame, query: str, v
 
     `documents` is keyed by id; only its rows of the fused candidates (2 * fetch at most) are joined.
     """
-    found = fuse(nearest(vectors, vector, fetch), top(bm25_scores(index, query), fetch))
-    rows = documents.join(F.broadcast(found), "id", "inner")  # 2 * fetch rows at most
+    found = fuse(nearest(vectors, vector, fetch), top(bm25_scores(index, query), fetch), short=True)
+    rows = documents.join(F.broadcast(found), "id", "inner").repartition(1)  # 2 * fetch rows at most
     return finish(one_per_url(rows) if dedup else rows, k, threshold)
 
 
@@ -57,7 +57,7 @@ def native_hybrid(vectors: DataFrame, weights: DataFrame, documents: DataFrame,
     hit = F.col("sparse") > 0
     score = reciprocal(F.col("dense_rank")) + F.when(hit, reciprocal(F.col("by_sparse"))).otherwise(0.0)
     rows = ranked.select("id", F.round(score, 9).alias("score"), "dense_rank", F.when(hit, F.col("by_sparse")).alias("sparse_rank"))
-    joined = documents.join(F.broadcast(rows), "id", "inner")
+    joined = documents.join(F.broadcast(rows), "id", "inner").repartition(1)  # fetch rows at most
     return finish(one_per_url(joined) if dedup else joined, k)
 
 
