@@ -194,7 +194,26 @@ def doc_stats(spark: SparkSession, root: str) -> DataFrame:
 
 @query(r"""select distinct chunk_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(?m)Copied!$', '', 'g'), 'Copied!\s*```', '```', 'g'), '```\s*Copied!', '```', 'g'), 'Copied!(\s|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{0b}\x{85}\x{a0}]+|[\s\x{0b}\x{85}\x{a0}]+$', '', 'g') as content from chunks where not contains(content, chr(13))""")
 def md_clean(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "chunks").where(~F.col("content").contains("\r")).select("chunk_id", T.clean_content(F.col("content")).alias("content")).distinct()
+    return _cleaned(_chunks_of_sql(spark, root))
+
+
+@query()
+def md_clean_all(spark: SparkSession, root: str) -> DataFrame:
+    return _cleaned(_chunks(spark, root))
+
+
+def _chunks_of_sql(spark: SparkSession, root: str) -> DataFrame:
+    """(chunk_id, content) of the chunks that the SQL of md_clean, heading_split, chunk_marks and code_languages takes: those without CR."""
+    return table(spark, root, "chunks").where(~F.col("content").contains("\r")).select("chunk_id", "content").distinct()
+
+
+def _chunks(spark: SparkSession, root: str) -> DataFrame:
+    """(chunk_id, content) of all chunks, each line end a line feed; null contents stay."""
+    return table(spark, root, "chunks").select("chunk_id", F.regexp_replace("content", r"\r\n?", "\n").alias("content")).distinct()
+
+
+def _cleaned(rows: DataFrame) -> DataFrame:
+    return rows.select("chunk_id", T.clean_content(F.col("content")).alias("content")).distinct()
 
 
 @query(r"""with c as (select distinct chunk_id, content from chunks where not contains(content, chr(13))), l as (select chunk_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as i from c),
@@ -202,7 +221,15 @@ h as (select *, regexp_matches(trim(line, ' '), '^#{1,6}\s+\S') as head from l),
 g as (select chunk_id, sec, string_agg(line, chr(10) order by i) as content from s group by all)
 select chunk_id, md5(content) as section from g where not regexp_matches(content, '^\s*$')""")
 def heading_split(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "chunks").where(~F.col("content").contains("\r")).select("chunk_id", "content").distinct()
+    return _split(_chunks_of_sql(spark, root))
+
+
+@query()
+def heading_split_all(spark: SparkSession, root: str) -> DataFrame:
+    return _split(_chunks(spark, root))
+
+
+def _split(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", F.explode(K.heading_sections(F.col("content"))).alias("s")).select("chunk_id", F.md5("s.content").alias("section"))
 
 
@@ -230,16 +257,33 @@ def chunk_metadata(spark: SparkSession, root: str) -> DataFrame:
 @query(r"""select chunk_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(content, '@(\w+)(?:\([^)]*\))?', 1))), ','), '') as annotations,
  coalesce(nullif(trim(regexp_extract(content, '(?m)^\s*# (.*)$', 1), ' '), ''), '') as heading from (select distinct chunk_id, content from chunks where not contains(content, chr(13)))""")
 def chunk_marks(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "chunks").where(~F.col("content").contains("\r")).select("chunk_id", "content").distinct()
-    return rows.select("chunk_id", F.array_join(T.annotations(F.col("content")), ",").alias("annotations"), T.first_heading(F.col("content"), F.lit("")).alias("heading"))
+    return _marks(_chunks_of_sql(spark, root))
+
+
+@query()
+def chunk_marks_all(spark: SparkSession, root: str) -> DataFrame:
+    return _marks(_chunks(spark, root))
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    return rows.select("chunk_id", F.coalesce(F.array_join(T.annotations(F.col("content")), ","), F.lit("")).alias("annotations"), T.first_heading(F.col("content"), F.lit("")).alias("heading"))
 
 
 @query(r"""with b as (select distinct chunk_id, regexp_extract(content, '(?m)^(?:```|~~~)([A-Za-z]+)$', 1) as css from chunks where not contains(content, chr(13)))
 select chunk_id, css, case when regexp_matches(css, '(?i)java') then 'java' when regexp_matches(css, '(?i)kotlin|kt') then 'kotlin' when regexp_matches(css, '(?i)groovy') then 'groovy' when regexp_matches(css, '(?i)xml') then 'xml' when regexp_matches(css, '(?i)ya?ml') then 'yaml'
  when regexp_matches(css, '(?i)properties|props') then 'properties' when regexp_matches(css, '(?i)json') then 'json' when regexp_matches(css, '(?i)sh|bash|shell|zsh') then 'shell' when regexp_matches(css, '(?i)sql') then 'sql' else 'java' end as language from b where css <> ''""")
 def code_languages(spark: SparkSession, root: str) -> DataFrame:
+    return _languages(_chunks_of_sql(spark, root))
+
+
+@query()
+def code_languages_all(spark: SparkSession, root: str) -> DataFrame:
+    return _languages(_chunks(spark, root))
+
+
+def _languages(rows: DataFrame) -> DataFrame:
     css = F.regexp_extract("content", r"(?m)^(?:```|~~~)([A-Za-z]+)$", 1)
-    rows = table(spark, root, "chunks").where(~F.col("content").contains("\r")).select("chunk_id", css.alias("css")).where("css <> ''").distinct()
+    rows = rows.select("chunk_id", css.alias("css")).where("css <> ''").distinct()
     return rows.select("chunk_id", "css", T.code_language(F.col("css")).alias("language"))
 
 
