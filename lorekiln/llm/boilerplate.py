@@ -9,7 +9,6 @@ have it, is template, wherever it stands. Lists of page titles under a form that
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Sequence
 
@@ -17,9 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekiln.operators.ranks import rank_in_buckets
 from lorekiln.session import settled
 
-#: Pages compared as one cell, about; a host with more is spread over cells by directory and hash, each again in URL order.
+#: Pages compared as one cell at most; a host with more is cut into ranges of its URL order.
 PAGES_PER_CELL = 500
 #: A template form occurs on at least LEAST_PAGES pages and outside the body on nearly all of them: outside / (pages + 1).
 LEAST_PAGES, OUTSIDE = 3, 0.66
@@ -124,37 +124,24 @@ def shared_lines(a: Sequence[str], b: Sequence[str]) -> tuple[set[int], set[int]
     return in_a, in_b
 
 
-def compare_cell(pages: list[tuple[str, list[str], set[int]]]) -> list[list[tuple[bool, bool, bool, bool]]]:
-    """(shared, alike, sentence, heads) of each line of pages in URL order, each given as (path, forms, positions of titles).
+def compare_cell(pages: list[tuple[list[str], set[int]]]) -> list[list[tuple[bool, bool, bool, bool]]]:
+    """(shared, alike, sentence, heads) of each line of different pages in URL order, each given as (forms, positions of titles).
 
-    A page is compared with the nearest page of another path on either side, so a page delivered twice is not compared with
-    itself. Forms are aligned for `shared` and their stems for `alike`; `sentence` is an unshared line of five words or more that is no title; `heads` a line with a title line after it
+    A page is compared with the page on either side. Forms are aligned for `shared` and their stems for `alike`; `sentence` is an unshared line of five words or more that is no title; `heads` a line with a title line after it
     and none before it.
     """
     n = len(pages)
     shared: list[set[int]] = [set() for _ in pages]
     alike: list[set[int]] = [set() for _ in pages]
-    stems = [[line_stem(f) or f for f in forms] for _, forms, _ in pages]
-    after = [n] * n
-    for i in range(n - 2, -1, -1):
-        after[i] = i + 1 if pages[i + 1][0] != pages[i][0] else after[i + 1]
-    first = list(range(n))
+    stems = [[line_stem(f) or f for f in forms] for forms, _ in pages]
     for i in range(1, n):
-        if pages[i][0] == pages[i - 1][0]:
-            first[i] = first[i - 1]
-    done: dict[tuple[int, int], tuple] = {}
-    for i in range(n):
-        for j in (after[i], first[i] - 1):
-            if 0 <= j < n:
-                a, b = key = (min(i, j), max(i, j))
-                if key not in done:
-                    done[key] = (shared_lines(pages[a][1], pages[b][1]), shared_lines(stems[a], stems[b]))
-                side = 0 if i == a else 1
-                shared[i] |= done[key][0][side]
-                alike[i] |= done[key][1][side]
+        forms, stem = shared_lines(pages[i - 1][0], pages[i][0]), shared_lines(stems[i - 1], stems[i])
+        for side in (0, 1):
+            shared[i - 1 + side] |= forms[side]
+            alike[i - 1 + side] |= stem[side]
     return [
         [(k in s, k in t, k not in s and k not in titles and len(f.split()) >= 5, k + 1 in titles and k - 1 not in titles) for k, f in enumerate(forms)]
-        for (_, forms, titles), s, t in zip(pages, shared, alike)
+        for (forms, titles), s, t in zip(pages, shared, alike)
     ]
 
 
@@ -165,14 +152,13 @@ def _cell_lines(cell: pd.DataFrame) -> pd.DataFrame:
     host = cell["host"].iloc[0]
     brand = site_name(host)
     pages: dict = {}
-    order = ["path", "page_id", "section_ord", "scraped_at", "title", "content"]
-    once = cell.sort_values(order).drop_duplicates(["page_id", "section_ord"], keep="last")
+    once = cell.sort_values(["rank", "section_ord", "scraped_at", "title", "content"]).drop_duplicates(["rank", "section_ord"], keep="last")
     for r in once.itertuples(index=False):
-        pages.setdefault((r.path, r.page_id), []).append(r)
+        pages.setdefault((r.rank, r.page_id, r.page), []).append(r)
     titles = {title_form(r.title) for rows in pages.values() for r in rows if r.title and r.title.strip()}
     titles = {t for t in titles if t.count(" ") >= 1}
     given, place = [], []
-    for (path, page_id), rows in pages.items():
+    for (_, page_id, page), rows in pages.items():
         forms, at, marks, parts = [], [], [], []
         for r in rows:
             for i, line in enumerate((r.content or "").split("\n"), 1):
@@ -181,48 +167,72 @@ def _cell_lines(cell: pd.DataFrame) -> pd.DataFrame:
                     marks.append(title_form(line))
                     parts.append(line_parts(line))
                     at.append((page_id, r.section_ord, i, len(at) + 1))
-        given.append((path, forms, {k for k, t in enumerate(marks) if t in titles}))
-        place.append((at, forms, marks, parts))
-    learn = len({p for p, _, _ in given}) > 1
+        given.append((forms, {k for k, t in enumerate(marks) if t in titles}))
+        place.append((at, page, forms, marks, parts))
+    learn = len(given) > 1
     out = []
-    for flags, (path, _, _), (at, forms, marks, parts) in zip(compare_cell(given), given, place):
-        page = int.from_bytes(hashlib.blake2b(f"{host}{path}".encode(), digest_size=8).digest(), "big", signed=True)
+    for flags, (at, page, forms, marks, parts) in zip(compare_cell(given), place):
         out += [(*a, f, t, page, line_stem(f), q, learn, *x) for a, f, t, q, x in zip(at, forms, marks, parts, flags)]
     return pd.DataFrame(out, columns=["page_id", "section_ord", "line_no", "ord", "form", "title_form", "page", "stem", "parts", "learn", "shared", "alike", "sentence", "heads"])
 
 
 def _place(sections: DataFrame) -> DataFrame:
-    """The sections with host and path of their url; a null url is a host of its own. Rows without page_id are left out."""
+    """The sections with host, path and query of their url; a null url is a host of its own. Rows without page_id are left out."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:\w+:)?//([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:\w+:)?(?://[^/?#]*)?([^?#]*)", 1), r"/+$", "")
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     rows = sections.where("page_id is not null")
-    return rows.select("page_id", "section_ord", "scraped_at", "title", "content", host.alias("host"), path.alias("path"))
+    return rows.select("page_id", "section_ord", "scraped_at", "title", "content", host.alias("host"), path.alias("path"), query.alias("query"))
+
+
+def _pages(rows: DataFrame) -> DataFrame:
+    """(host, path, page_id, query, same, page): each page with a hash of its text; `page` is equal for pages of one path and text."""
+    text = F.md5(F.coalesce("content", F.lit("")))
+    # of repeats the latest counts, nulls as the latest, as in the cells
+    latest = F.max(F.struct(F.col("scraped_at").isNull(), "scraped_at", F.col("title").isNull(), F.coalesce("title", F.lit("")).alias("title"), text.alias("text")))
+    sections = rows.groupBy("host", "path", "page_id", "section_ord").agg(latest.alias("r"), F.min("query").alias("query"))
+    part = F.struct("section_ord", "r.title", "r.text")
+    pages = sections.groupBy("host", "path", "page_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.min("query").alias("query"))
+    one = pages.withColumn("same", F.md5(F.to_json("parts"))).drop("parts")
+    return one.withColumn("page", F.xxhash64("host", "path", "same"))
+
+
+def _in_url_order(pages: DataFrame) -> DataFrame:
+    """(host, path, page_id, page, rank): one page of each path and text, numbered within its host by path, then query.
+
+    The ranges are written down, so the numbers are exact whatever was sampled for them; no task sorts a whole host.
+    """
+    order = ["path", "query", "same"]
+    once = pages.groupBy("host", "path", "same", "page").agg(F.min("query").alias("query"), F.min("page_id").alias("page_id"))
+    ranges = settled(once.repartitionByRange("host", *order).withColumn("range", F.spark_partition_id()), "ranges")
+    return rank_in_buckets(ranges, ["host"], F.col("range"), [F.col(c) for c in order]).select("host", "path", "page_id", "page", "rank")
 
 
 def compared_lines(sections: DataFrame) -> DataFrame:
-    """The non-blank lines of all pages with their form and what the comparison with the nearest pages says.
+    """The non-blank lines of all pages with their form and what the comparison with the nearest pages says; written down.
 
     Forms leave as 64-bit hashes, since all that follows only groups and joins by them. Of repeated rows of a page's section
     the latest counts, which is settled inside the cell, so texts are shuffled once.
 
-    Cells are counted before they are made: a host of up to PAGES_PER_CELL pages is one cell; a larger one is cut by the
-    directory of the path and, where a directory is large, by the hash of the path, so no task gets an unbounded host.
+    Pages of one path and equal text are one page: one of them is compared, and the others get its lines. All others are
+    different pages, also where they share a path or have no url, next to each other by query and text. A host is cut into
+    ranges of PAGES_PER_CELL such pages, so no task gets an unbounded host, path or directory.
     """
-    rows = _place(sections).withColumn("dir", F.regexp_replace("path", r"[^/]*$", ""))
-    per_dir = rows.groupBy("host", "dir").agg(F.approx_count_distinct("path").alias("d"))
-    per_host = per_dir.groupBy("host").agg(F.sum("d").alias("h"))
-    sized = rows.join(per_dir.join(per_host, "host"), ["host", "dir"])
-    small = F.col("h") <= PAGES_PER_CELL
-    # small directories of a large host share cells by hash, so that they still meet others
-    few = F.pmod(F.xxhash64("dir"), F.greatest(F.lit(1), F.ceil(F.col("h") / PAGES_PER_CELL)))
-    many = F.pmod(F.xxhash64("path"), F.ceil(F.col("d") / PAGES_PER_CELL))
-    tiny = F.col("d") < 20
-    cell = F.when(small, F.lit("")).when(tiny, F.concat(F.lit("~"), few)).otherwise(F.concat_ws("#", F.col("dir"), many))
-    keyed = sized.select("host", cell.alias("cell"), "path", "page_id", "section_ord", "scraped_at", "title", "content")
-    lines = keyed.groupBy("host", "cell").applyInPandas(_cell_lines, _LINES)
+    rows = _place(sections)
+    pages = settled(_pages(rows), "pages")
+    ranked = settled(_in_url_order(pages), "ranked")
+    cells = ranked.withColumn("cell", F.floor((F.col("rank") - 1) / PAGES_PER_CELL))
+    keyed = rows.drop("query").join(cells, ["host", "path", "page_id"]).drop("path")
+    found = keyed.groupBy("host", "cell").applyInPandas(_cell_lines, _LINES)
     stem = F.when(F.col("stem").isNotNull(), F.xxhash64("stem"))
-    return lines.withColumns({"form": F.xxhash64("form"), "title_form": F.xxhash64("title_form"), "stem": stem, "parts": F.transform("parts", lambda p: F.xxhash64(p))})
+    lines = settled(found.withColumns({"form": F.xxhash64("form"), "title_form": F.xxhash64("title_form"), "stem": stem, "parts": F.transform("parts", lambda p: F.xxhash64(p))}), "lines")
+    first = ranked.select("page", F.col("page_id").alias("first"))
+    others = settled(pages.select("page", "page_id").join(first, "page").where("page_id <> first").select("page", F.col("page_id").alias("other")), "others")
+    if others.isEmpty():
+        return lines
+    repeated = lines.join(others, "page").withColumn("page_id", F.col("other")).select(*lines.columns)
+    return settled(lines.unionByName(repeated), "lines")
 
 
 def outside_body(lines: DataFrame) -> DataFrame:
@@ -263,7 +273,7 @@ def boilerplate_lines(sections: DataFrame) -> DataFrame:
     A line is boilerplate when its form or its stem is template, when it is a menu or path of template forms and titles, or
     when it is a page title standing in a list under a form that heads lists. Blank lines never are. Null contents have no lines, pages without neighbours are judged by the forms alone.
     """
-    lines = settled(compared_lines(sections), "lines")
+    lines = compared_lines(sections)
     forms = settled(template_forms(lines), "forms")
     titles = sections.where("title is not null").select(F.col("title")).distinct()
     titled = settled(_titles(titles).groupBy("title_form").agg(F.lit(True).alias("is_title")), "titles")
