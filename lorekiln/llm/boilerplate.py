@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lorekiln.operators.ranks import rank_in_buckets
 from lorekiln.session import settled
 
-#: Pages compared as one cell at most; a host with more is cut into ranges of its URL order.
+#: Pages compared as one cell at most, besides the one on either side; a host with more is cut into ranges of its URL order.
 PAGES_PER_CELL = 500
 #: A template form occurs on at least LEAST_PAGES pages and outside the body on nearly all of them: outside / (pages + 1).
 LEAST_PAGES, OUTSIDE = 3, 0.66
@@ -124,56 +124,46 @@ def shared_lines(a: Sequence[str], b: Sequence[str]) -> tuple[set[int], set[int]
     return in_a, in_b
 
 
-def compare_cell(pages: list[tuple[list[str], set[int]]]) -> list[list[tuple[bool, bool, bool, bool]]]:
-    """(shared, alike, sentence, heads) of each line of different pages in URL order, each given as (forms, positions of titles).
+def compare_cell(pages: list[list[str]]) -> list[list[tuple[bool, bool]]]:
+    """(shared, alike) of each line of different pages in URL order, each given as its forms.
 
-    A page is compared with the page on either side. Forms are aligned for `shared` and their stems for `alike`; `sentence` is an unshared line of five words or more that is no title; `heads` a line with a title line after it
-    and none before it.
+    A page is compared with the page on either side. Forms are aligned for `shared` and their stems for `alike`.
     """
-    n = len(pages)
     shared: list[set[int]] = [set() for _ in pages]
     alike: list[set[int]] = [set() for _ in pages]
-    stems = [[line_stem(f) or f for f in forms] for forms, _ in pages]
-    for i in range(1, n):
-        forms, stem = shared_lines(pages[i - 1][0], pages[i][0]), shared_lines(stems[i - 1], stems[i])
+    stems = [[line_stem(f) or f for f in forms] for forms in pages]
+    for i in range(1, len(pages)):
+        forms, stem = shared_lines(pages[i - 1], pages[i]), shared_lines(stems[i - 1], stems[i])
         for side in (0, 1):
             shared[i - 1 + side] |= forms[side]
             alike[i - 1 + side] |= stem[side]
-    return [
-        [(k in s, k in t, k not in s and k not in titles and len(f.split()) >= 5, k + 1 in titles and k - 1 not in titles) for k, f in enumerate(forms)]
-        for (forms, titles), s, t in zip(pages, shared, alike)
-    ]
+    return [[(k in s, k in t) for k in range(len(forms))] for forms, s, t in zip(pages, shared, alike)]
 
 
-_LINES = "page_id bigint, section_ord int, line_no int, ord int, form string, title_form string, page bigint, stem string, parts array<string>, learn boolean, shared boolean, alike boolean, sentence boolean, heads boolean"
+_LINES = "page_id bigint, section_ord int, line_no int, ord int, form string, title_form string, page bigint, site bigint, stem string, parts array<string>, learn boolean, words boolean, shared boolean, alike boolean"
 
 
 def _cell_lines(cell: pd.DataFrame) -> pd.DataFrame:
-    host = cell["host"].iloc[0]
-    brand = site_name(host)
+    brand = site_name(cell["host"].iloc[0])
     pages: dict = {}
     once = cell.sort_values(["rank", "section_ord", "scraped_at", "title", "content"]).drop_duplicates(["rank", "section_ord"], keep="last")
     for r in once.itertuples(index=False):
-        pages.setdefault((r.rank, r.page_id, r.page), []).append(r)
-    titles = {title_form(r.title) for rows in pages.values() for r in rows if r.title and r.title.strip()}
-    titles = {t for t in titles if t.count(" ") >= 1}
+        pages.setdefault((r.rank, r.page_id, r.page, r.site, r.own), []).append(r)
     given, place = [], []
-    for (_, page_id, page), rows in pages.items():
-        forms, at, marks, parts = [], [], [], []
+    for (_, page_id, page, site, own), rows in pages.items():
+        forms, at = [], []
         for r in rows:
             for i, line in enumerate((r.content or "").split("\n"), 1):
                 if line.strip():
                     forms.append(line_form(line, brand))
-                    marks.append(title_form(line))
-                    parts.append(line_parts(line))
-                    at.append((page_id, r.section_ord, i, len(at) + 1))
-        given.append((forms, {k for k, t in enumerate(marks) if t in titles}))
-        place.append((at, page, forms, marks, parts))
+                    if own:
+                        at.append((page_id, r.section_ord, i, len(at) + 1, forms[-1], title_form(line), page, site, line_stem(forms[-1]), line_parts(line)))
+        given.append(forms)
+        place.append(at)
     learn = len(given) > 1
-    out = []
-    for flags, (at, page, forms, marks, parts) in zip(compare_cell(given), place):
-        out += [(*a, f, t, page, line_stem(f), q, learn, *x) for a, f, t, q, x in zip(at, forms, marks, parts, flags)]
-    return pd.DataFrame(out, columns=["page_id", "section_ord", "line_no", "ord", "form", "title_form", "page", "stem", "parts", "learn", "shared", "alike", "sentence", "heads"])
+    # of a page that only borders the range nothing is given out: it has its lines in its own range
+    out = [(*a, learn, len(a[4].split()) >= 5, *x) for flags, at in zip(compare_cell(given), place) for a, x in zip(at, flags)]
+    return pd.DataFrame(out, columns=["page_id", "section_ord", "line_no", "ord", "form", "title_form", "page", "site", "stem", "parts", "learn", "words", "shared", "alike"])
 
 
 def _place(sections: DataFrame) -> DataFrame:
@@ -217,16 +207,20 @@ def compared_lines(sections: DataFrame) -> DataFrame:
 
     Pages of one path and equal text are one page: one of them is compared, and the others get its lines. All others are
     different pages, also where they share a path or have no url, next to each other by query and text. A host is cut into
-    ranges of PAGES_PER_CELL such pages, so no task gets an unbounded host, path or directory.
+    ranges of PAGES_PER_CELL such pages, so no task gets an unbounded host, path or directory; the page before and the page
+    after a range are compared in it too, so every page meets its nearest pages whatever the size of its host.
     """
     rows = _place(sections)
     pages = settled(_pages(rows), "pages")
     ranked = settled(_in_url_order(pages), "ranked")
-    cells = ranked.withColumn("cell", F.floor((F.col("rank") - 1) / PAGES_PER_CELL))
-    keyed = rows.drop("query").join(cells, ["host", "path", "page_id"]).drop("path")
+    cell, at = F.floor((F.col("rank") - 1) / PAGES_PER_CELL), (F.col("rank") - 1) % PAGES_PER_CELL
+    borders = F.array(F.struct(cell.alias("cell"), F.lit(True).alias("own")), F.when((at == 0) & (cell > 0), F.struct((cell - 1).alias("cell"), F.lit(False).alias("own"))), F.when(at == PAGES_PER_CELL - 1, F.struct((cell + 1).alias("cell"), F.lit(False).alias("own"))))
+    cells = ranked.withColumn("c", F.explode(F.filter(borders, lambda c: c.isNotNull()))).select("host", "path", "page_id", "page", "rank", "c.cell", "c.own")
+    keyed = rows.drop("query").join(cells, ["host", "path", "page_id"]).drop("path").withColumn("site", F.xxhash64("host"))
     found = keyed.groupBy("host", "cell").applyInPandas(_cell_lines, _LINES)
     stem = F.when(F.col("stem").isNotNull(), F.xxhash64("stem"))
-    lines = settled(found.withColumns({"form": F.xxhash64("form"), "title_form": F.xxhash64("title_form"), "stem": stem, "parts": F.transform("parts", lambda p: F.xxhash64(p))}), "lines")
+    hashed = found.withColumns({"form": F.xxhash64("form"), "title_form": F.xxhash64("title_form"), "stem": stem, "parts": F.transform("parts", lambda p: F.xxhash64(p))})
+    lines = settled(_by_titles(hashed, rows), "lines")
     first = ranked.select("page", F.col("page_id").alias("first"))
     others = settled(pages.select("page", "page_id").join(first, "page").where("page_id <> first").select("page", F.col("page_id").alias("other")), "others")
     if others.isEmpty():
@@ -235,6 +229,17 @@ def compared_lines(sections: DataFrame) -> DataFrame:
     return settled(lines.unionByName(repeated), "lines")
 
 
+def _by_titles(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """lines with `sentence`, an unshared line of five words or more that is no title of its host, and `heads`, a line with a title line after it and none before it."""
+    titles = rows.where("title is not null").select(F.xxhash64("host").alias("site"), "title").distinct()
+    known = settled(_titles(titles, "site").distinct().withColumn("is_title", F.lit(True)), "site_titles")
+    marked = _look_up(lines, known, ["site", "title_form"])
+    is_title = F.coalesce(F.col("is_title"), F.lit(False))
+    page = Window.partitionBy("page_id", "page").orderBy("ord")
+    heads = F.lead(is_title, 1, False).over(page) & ~F.lag(is_title, 1, False).over(page)
+    return marked.withColumns({"heads": heads, "sentence": ~F.col("shared") & ~is_title & F.col("words")}).drop("is_title", "site", "words")
+
+
 def outside_body(lines: DataFrame) -> DataFrame:
     """lines with `outside`: before the first or after the last sentence of the page that the corpus has on few pages.
 
@@ -262,7 +267,7 @@ def template_forms(lines: DataFrame) -> DataFrame:
     return forms.where((F.col("n") >= LEAST_PAGES) & ((F.col("s") >= 1) | sure) & (outside | heads)).select("form", heads.alias("heads_list"))
 
 
-def _look_up(lines: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def _look_up(lines: DataFrame, table: DataFrame, key: str | list[str]) -> DataFrame:
     """Left join that broadcasts the table where it is small for certain; beyond, the shuffle join splits hot keys."""
     return lines.join(F.broadcast(table) if table.count() <= 200_000 else table, key, "left")
 
@@ -298,12 +303,12 @@ def menu_lines(lines: DataFrame, forms: DataFrame, titled: DataFrame) -> DataFra
     return counted.where("t >= 1 and 2 * (t + p) >= n").select("page_id", "section_ord", "line_no")
 
 
-def _titles(titles: DataFrame) -> DataFrame:
+def _titles(titles: DataFrame, *keep: str) -> DataFrame:
     """title_form in the JVM's own expressions; titles of one word are no list items to be told from other lines."""
     t = F.regexp_replace(F.trim("title"), r"^(?:[•·▪‣◦»›*+\-–—]\s+)+", "")
     t = F.regexp_replace(t, r"(?U)\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b", "~")
     t = F.regexp_replace(F.lower(t), r"(?U)\d+", "#")
-    return titles.select(t.alias("t")).where(F.instr("t", " ") > 0).select(F.xxhash64("t").alias("title_form"))
+    return titles.select(*keep, t.alias("t")).where(F.instr("t", " ") > 0).select(*keep, F.xxhash64("t").alias("title_form"))
 
 
 def page_bodies(sections: DataFrame) -> DataFrame:

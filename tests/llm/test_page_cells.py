@@ -27,3 +27,17 @@ def test_one_path_is_cut_into_ranges(spark):
     rows += [(i + 100, *r[1:]) for i, r in enumerate(rows[:5])]
     ranked = B._in_url_order(B._pages(B._place(spark.createDataFrame(rows, SECTIONS)))).collect()
     assert sorted((r["rank"], r.page_id) for r in ranked) == [(i + 1, i) for i in range(60)]
+
+
+def test_neighbours_do_not_depend_on_the_size_of_a_cell(spark, monkeypatch):
+    rows = [(*page(i, f"https://big.example/{'ab'[i % 2]}/page-{i:03d}")[:3], f"Part number {i} here", page(i, "")[4], 1) for i in range(50)]
+    # a side bar that only three pages next to each other have, and a list of far pages
+    rows = [(*r[:4], f"In this chapter\nPart number {(r[0] + 25) % 50} here\n{r[4]}" if r[0] in (20, 22, 24) else r[4], 1) for r in rows]
+    df = spark.createDataFrame(rows, SECTIONS)
+    found = []
+    for n in (500, 7, 1):
+        monkeypatch.setattr(B, "PAGES_PER_CELL", n)
+        lines = B.compared_lines(df)
+        found.append((sorted(map(str, lines.collect())), sorted(map(tuple, B.boilerplate_lines(df).collect()))))
+    assert found[0] == found[1] == found[2]
+    assert {(i, 1, 1) for i in (20, 22, 24)} <= set(found[0][1])
