@@ -68,7 +68,7 @@ def line_parts(line: str) -> list[str]:
     """The masked parts of a line that separators divide, as of a menu or path; none for another line."""
     text = _BULLET.sub("", line.strip())
     parts = _SEPARATOR.split(text)[::2]
-    return [title_form(p) for p in parts] if len(parts) > 1 and len(text) <= 400 else []
+    return [title_form(p) for p in parts] if len(parts) > 1 else []
 
 
 def site_name(host: str) -> str:

@@ -41,3 +41,9 @@ def test_neighbours_do_not_depend_on_the_size_of_a_cell(spark, monkeypatch):
         found.append((sorted(map(str, lines.collect())), sorted(map(tuple, B.boilerplate_lines(df).collect()))))
     assert found[0] == found[1] == found[2]
     assert {(i, 1, 1) for i in (20, 22, 24)} <= set(found[0][1])
+
+
+def test_a_long_menu_has_its_parts():
+    parts = [f"Part number {i}" for i in range(60)]
+    assert B.line_parts("* " + " | ".join(parts)) == ["part number #"] * 60
+    assert B.line_parts("word " * 200) == []
