@@ -27,7 +27,7 @@ form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe img inpu
 meta meter nav noframes noscript object ol optgroup option output param picture pre progress rp rt ruby samp script search section
 select slot small source span strike strong style sub summary sup table tbody td template textarea tfoot th thead time title tr
 track tt ul var video wbr""".split()
-# LaTeX commands that stand before a brace or bracket, and such that stand alone.
+#: LaTeX commands that stand before a brace or bracket, and such that stand alone; a choice of this module.
 COMMANDS = """begin end section subsection subsubsection paragraph subparagraph chapter part textbf textit texttt textrm textsc textsf
 textmd textup textsl emph underline uline cite citep citet citeauthor nocite ref eqref pageref autoref cref nameref label footnote
 footnotetext url href caption includegraphics title author date documentclass usepackage newcommand renewcommand bibliography
@@ -80,7 +80,7 @@ _REF_LINK = re.compile(r"(!?)(?<![\w\])])\[([^\[\]\n^]+)\]\[([^\[\]\n]*)\]")
 _DEFINITION = re.compile(r"^ {0,3}\[(?!\^)[^\[\]\n]+\]:[ \t]*\S+[^\n]*(?:\n|\Z)", re.M)
 _FOOTNOTE = re.compile(r"\[\^[^\[\]\s]+\](:[ \t]*)?")
 _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+|[\w.+-]+@[\w-]+\.[\w.-]+)>")
-_ITEM = re.compile(r"^([ \t]{0,12})([-+*]|\d{1,3}[.)])[ \t]+(?=\S)(\[[ xX]\][ \t]+)?", re.M)
+_ITEM = re.compile(r"^([ \t]*)([-+*]|\d{1,9}[.)])[ \t]+(?=\S)(\[[ xX]\][ \t]+)?", re.M)
 _QUOTE = re.compile(r"^ {0,3}(?:>[ \t]?)+(?=\S)", re.M)
 _RULE_ROW = re.compile(r"^[ \t]*(?:\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?|\|[ \t]*:?-+:?[ \t]*\|)[ \t]*$", re.M)
 
@@ -253,21 +253,48 @@ def _wiki_link(m: re.Match) -> str:
     return rest[-1] if rest else target
 
 
+_L_TABLE = re.compile(r"\\begin\{(tabular[x*]?|tabularx|array|longtable)\}.*?(?:\\end\{\1\}|\Z)", re.S)
+_L_POINTER = re.compile(r"\\(?:cite[a-z]*|nocite|ref|eqref|pageref|autoref|cref|nameref)\*?[ \t]*(?:\[[^\]\n]*\])*\{([^{}\n]*)\}")
+_L_SETTING = re.compile(r"\\(?:label|bibliography|bibliographystyle|usepackage|documentclass|includegraphics|vspace|hspace)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}")
+_L_HREF = re.compile(r"\\href\{[^{}\n]*\}\{([^{}\n]*)\}")
+_L_FRAME = re.compile(r"[ \t]*\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
+_L_ITEM = re.compile(r"(?m)^[ \t]*\\item(?:\[([^\]\n]*)\])?[ \t]*")
+_L_WRAPPED = re.compile(r"\\(footnote)\{([^{}]*)\}|\\(?:" + "|".join(COMMANDS) + r")\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}")
+_L_LEVELS = (("chapter", 1), ("section", 1), ("subsection", 2), ("subsubsection", 3), ("paragraph", 4))
+_L_HEADINGS = [(re.compile(r"\\" + name + r"\*?\{([^{}\n]*)\}"), "\n" + "#" * level + r" \1" + "\n") for name, level in _L_LEVELS]
+
+
+def _until_still(pattern: re.Pattern, to, t: str) -> str:
+    """Replace until nothing changes: marks nested to any depth are all undone. Each round takes at least two characters."""
+    n = 1
+    while n:
+        t, n = pattern.subn(to, t)
+    return t
+
+
 def _latex_text(t: str) -> str:
-    for name, level in (("chapter", 1), ("section", 1), ("subsection", 2), ("subsubsection", 3), ("paragraph", 4)):
-        t = re.sub(r"\\" + name + r"\*?\{([^{}\n]*)\}", lambda m, n=level: "\n" + "#" * n + " " + m.group(1) + "\n", t)
-    t = re.sub(r"\\(?:cite[a-z]*|label|ref|eqref|pageref|autoref|cref|nameref|bibliography|bibliographystyle|usepackage|documentclass|includegraphics|vspace|hspace)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}", "", t)
-    t = re.sub(r"\\href\{[^{}\n]*\}\{([^{}\n]*)\}", r"\1", t)
-    t = re.sub(r"[ \t]*\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?", "", t)
-    t = re.sub(r"(?m)^[ \t]*\\item(?:\[([^\]\n]*)\])?[ \t]*", lambda m: "- " + (m.group(1) + ": " if m.group(1) else ""), t)
-    for _ in range(3):
-        t, n = re.subn(r"\\(footnote)\{([^{}]*)\}|\\(?:" + "|".join(COMMANDS) + r")\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", lambda m: f" ({m.group(2)})" if m.group(1) else m.group(3), t)
-        if not n:
-            break
+    """Headings, items and cells from commands; a reference or citation leaves its key in brackets, a setting nothing.
+
+    An ampersand parts cells inside tables only, and a tilde is a blank only between two words or before a command.
+    """
+    for pattern, to in _L_HEADINGS:
+        t = pattern.sub(to, t)
+    t = _L_POINTER.sub(r"[\1]", _L_SETTING.sub("", t))
+    t = _L_TABLE.sub(lambda m: re.sub(r"[ \t]*(?<!\\)&[ \t]*", " | ", m.group(0)), t)
+    t = _L_FRAME.sub("", _L_HREF.sub(r"\1", t))
+    t = _L_ITEM.sub(lambda m: "- " + (m.group(1) + ": " if m.group(1) else ""), t)
+    t = _until_still(_L_WRAPPED, lambda m: f" ({m.group(2)})" if m.group(1) else m.group(3), t)
     t = re.sub(r"(?m)[ \t]*\\\\[ \t]*$", "", t)
-    t = re.sub(r"(?<=\S) & (?=\S)", " | ", t) if "\\" in t or " & " in t else t
     t = _L_BARE.sub("", t)
-    return t.replace("~", " ") if "~~" not in t else t
+    return re.sub(r"(?<=[\w.,;:)])~(?=[\w\\(\[$])", " ", t) if "~" in t else t
+
+
+def _wiki_call(m: re.Match) -> str:
+    """A template call: of one that carries sentences its name and these, of any other nothing."""
+    name, *given = m.group(1).split("|")
+    texts = [v.split("=", 1)[-1].strip() for v in given]
+    said = [v for v in texts if len(v.split()) > 1]
+    return name.strip().lstrip("#:") + ": " + " ".join(said) if said else ""
 
 
 def _clean_text(t: str, families: list[str]) -> str:
@@ -281,7 +308,7 @@ def _clean_text(t: str, families: list[str]) -> str:
         if "://" in t and "[" in t:
             t = _W_URL.sub(lambda m: m.group(2) or m.group(1), t)
         if "{{" in t:
-            t = _W_CALL.sub("", t)
+            t = _until_still(_W_CALL, _wiki_call, t)
         if "{|" in t:
             t = re.sub(r"(?m)^\|(?![-}|])[ \t]*([^\n]*)$", lambda m: re.sub(r"[ \t]*\|\|[ \t]*", " | ", m.group(1)), t)
             t = re.sub(r"(?m)^![ \t]*([^\n]*)$", lambda m: re.sub(r"[ \t]*!![ \t]*", " | ", m.group(1)), t)
@@ -290,7 +317,7 @@ def _clean_text(t: str, families: list[str]) -> str:
         if "__" in t or "<" in t:
             t = _W_SWITCH.sub("", _W_TAG.sub("", t))
         if "''" in t:
-            t = _W_STRONG.sub(r"\2", _W_STRONG.sub(r"\2", t))
+            t = _until_still(_W_STRONG, r"\2", t)
     if "markdown" in families:
         if "---" in t or "===" in t:
             t = _set_headings(t)
@@ -308,11 +335,10 @@ def _clean_text(t: str, families: list[str]) -> str:
         if ">" in t:
             t = _QUOTE.sub("", t)
         t = _ITEM.sub(lambda m: m.group(1) + ("-" if m.group(2) in "-+*" else m.group(2)) + " ", t)
-        for _ in range(2):
-            if "*" in t:
-                t = _BOLD_INSIDE.sub(r"\1", _STRONG.sub(r"\2", t))
-            if "_" in t:
-                t = _UNDER.sub(r"\2", t)
+        if "*" in t:
+            t = _until_still(_BOLD_INSIDE, r"\1", _until_still(_STRONG, r"\2", t))
+        if "_" in t:
+            t = _until_still(_UNDER, r"\2", t)
         if "~~" in t:
             t = _STRUCK.sub(r"\1", t)
     if "html" in families:

@@ -115,7 +115,8 @@ def pack_texts(documents: DataFrame, capacity: int, tokenizer: str = "byte_bpe_5
         name = [None if b is None or b != b else f"{shard}-{int(b)}" for b in out["box"]]
         return out.assign(container=name)[["doc_id", "part", "parts", "container", "start", "tokens"]]
 
-    joined = rows.join(owed, ["shard", "source"], "inner")
+    # a given number of partitions is kept by adaptive execution: rows of numbers are small in bytes and dear in Python
+    joined = rows.join(owed, ["shard", "source"], "inner").repartition(shards, "shard")
     return joined.groupBy("shard").applyInPandas(pack, "doc_id bigint, part int, parts int, container string, start int, tokens int")
 
 

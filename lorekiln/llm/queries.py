@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekiln.llm import boilerplate, distinctive, markup, packing, reading, score_fusion, splitting, tokenizing
@@ -37,9 +37,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_top_terms(spark: SparkSession, root: str) -> DataFrame:
     """The five most characteristic terms of each chunk; ties by the term."""
-    weights = distinctive.term_weights(table(spark, root, "chunks"))
-    best = Window.partitionBy("chunk_id", "document_id").orderBy(F.col("weight").desc(), "term")
-    return weights.withColumn("place", F.row_number().over(best)).where("place <= 5").select("chunk_id", "document_id", "place", "term", F.round("weight", 6).alias("weight"))
+    return distinctive.top_terms(table(spark, root, "chunks"))
 
 
 def p3_logged_terms(spark: SparkSession, root: str) -> DataFrame:
@@ -155,6 +153,13 @@ weights as (select chunk_id, term, max(greatest(0.0, ln((n / tokens) / ((total /
 asked as (select distinct query_id, doc_id, score, unnest(regexp_extract_all(query, '{_TOKENS}')) as term
   from (select query_id, lower(query) as query, doc_id, max(score) as score from bm25_results where doc_id is not null group by all))
 select query_id, doc_id, a.term, score, round(coalesce(weight, 0.0), 6) as weight from asked a left join weights w on w.chunk_id = a.doc_id and w.term = a.term""",
+    "p3_top_terms": _TERMS + r"""
+, lengths as (select chunk_id, document_id, sum(n) as length from counts group by all),
+whole as (select sum(length) as tokens, sum(pow(length, 0.75)) as contexts from lengths),
+weights as (select chunk_id, document_id, term, round(greatest(0.0, ln((n / tokens) / ((total / tokens) * (pow(length, 0.75) / contexts)))), 6) as weight
+  from counts join stats using (term) join lengths using (chunk_id, document_id), whole),
+placed as (select *, row_number() over (partition by chunk_id, document_id order by weight desc, term) as place from weights)
+select chunk_id, document_id, cast(place as int) as place, term, weight from placed where place <= 5""",
     "p3_found": _TERMS + r"""
 select distinct chunk_id, term from counts join stats using (term)
 where n >= 3 and documents between 2 and 6 and length(term) >= 6 and regexp_full_match(term, '\p{L}+')""",

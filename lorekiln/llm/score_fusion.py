@@ -11,13 +11,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekiln.operators.ranks import rank_in_buckets
+from lorekiln.operators.ranks import rank_in_ranges
 from lorekiln.session import settled
 
 #: 1 / 1.4826 makes the deviation comparable with a standard deviation for normally distributed scores.
 MAD_SCALE = 1.4826
-#: Relative rank error of a group's median is at most 1 / ACCURACY; groups of fewer rows get the exact lower median.
+#: Relative rank error of the sketch that brackets a median is at most 1 / ACCURACY; the bracket is ten times as wide.
 ACCURACY = 10_000
+BRACKET = 10 / ACCURACY
 SCORES = ("dense_score", "sparse_score")
 
 
@@ -37,24 +38,44 @@ def _per_query(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(s, df["query_id"].eqNullSafe(s["__q"]), "left").drop("__q")
 
 
+def medians(rows: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """(query_id, one column per name): the exact lower median of each value, nulls left out; null where there is none.
+
+    A mergeable sketch brackets the median, rows below the bracket are counted, and of the rows inside, one in 500, equal
+    values are folded before the median is picked by its rank. So a query with a third of all rows is pre-aggregated on the
+    map side in every step, and its result does not depend on its size or on the order of merging.
+    """
+    named = rows.select("query_id", *[v.alias(n) for n, v in values.items()])
+    around = F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET))
+    sketch = named.groupBy("query_id").agg(*[F.percentile_approx(n, around, ACCURACY).alias(f"{n}_in") for n in values])
+    placed = _per_query(named, sketch)
+    below = [F.count_if(F.col(n) < F.col(f"{n}_in")[0]).alias(f"{n}_below") for n in values]
+    counts = placed.groupBy("query_id").agg(*[F.count(n).alias(f"{n}_all") for n in values], *below)
+    inside = [F.when((F.col(n) >= F.col(f"{n}_in")[0]) & (F.col(n) <= F.col(f"{n}_in")[1]), F.struct(F.lit(n).alias("name"), F.col(n).alias("x"))) for n in values]
+    found = placed.select("query_id", F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull())).alias("s")).groupBy("query_id", "s.name", "s.x").agg(F.count(F.lit(1)).alias("k"))
+    upto = Window.partitionBy("query_id", "name").orderBy("x")
+    summed = _per_query(found.withColumn("upto", F.sum("k").over(upto)), counts)
+    picked = []
+    for n in values:
+        rank = F.ceil(F.col(f"{n}_all") / 2) - F.col(f"{n}_below")
+        here = (F.col("name") == n) & (F.col("upto") >= rank) & (F.col("upto") - F.col("k") < rank)
+        picked.append(F.max(F.when(here, F.col("x"))).alias(n))
+    return summed.groupBy("query_id").agg(*picked)
+
+
 def bounded_scores(candidates: DataFrame, scores: tuple[str, ...] = SCORES) -> DataFrame:
     """Latest candidates with `<score>_unit` in [0, 1]: logistic((x - median) / (MAD_SCALE * MAD)) within the query.
 
-    Medians are mergeable quantile summaries, so a query with a third of all rows is pre-aggregated on the map side and never
-    meets in one task. Where the deviation is 0 the mean absolute deviation takes its place; where that is 0 as well, or a
-    value is infinite, a value above the median gets 1, one below 0 and the median itself 0.5. A missing score has unit 0,
-    below every other.
+    Where the deviation is 0 the mean absolute deviation takes its place; where that is 0 as well, or a value is infinite, a
+    value above the median gets 1, one below 0 and the median itself 0.5. A missing score has unit 0, below every other.
     """
-    rows = latest_candidates(candidates, scores)
-    mid = rows.groupBy("query_id").agg(*[F.percentile_approx(s, 0.5, ACCURACY).alias(f"{s}_mid") for s in scores])
-    rows = _per_query(rows, mid)
-    away = lambda s: F.abs(F.col(s) - F.col(f"{s}_mid"))
+    rows = settled(latest_candidates(candidates, scores), "latest")
+    rows = _per_query(rows, medians(rows, {f"{s}_mid": F.col(s) for s in scores}))
     finite = lambda c: F.when(F.isnan(c) | (c == float("inf")), F.lit(None)).otherwise(c)
-    spread = rows.groupBy("query_id").agg(
-        *[F.percentile_approx(finite(away(s)), 0.5, ACCURACY).alias(f"{s}_mad") for s in scores],
-        *[F.avg(finite(away(s))).alias(f"{s}_aad") for s in scores],
-    )
-    rows = _per_query(rows, spread)
+    away = {s: finite(F.abs(F.col(s) - F.col(f"{s}_mid"))) for s in scores}
+    rows = settled(rows.withColumns({f"{s}_away": c for s, c in away.items()}), "away")
+    mean = rows.groupBy("query_id").agg(*[F.avg(f"{s}_away").alias(f"{s}_aad") for s in scores])
+    rows = _per_query(_per_query(rows, medians(rows, {f"{s}_mad": F.col(f"{s}_away") for s in scores})), mean)
     for s in scores:
         scale = F.when(F.col(f"{s}_mad") > 0, F.col(f"{s}_mad") * MAD_SCALE).otherwise(F.col(f"{s}_aad"))
         gap = F.col(s) - F.col(f"{s}_mid")
@@ -84,14 +105,8 @@ def fuse_scores(candidates: DataFrame, weights: Mapping[str, float] | None = Non
 
 
 def rank_fused(candidates: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """fuse_scores with `rank` 1, 2, ... within the query (ties by chunk_id); a hot query is ranked in 256 score buckets.
-
-    The fused rows are written once: quantile sketches of large queries depend on the order of merging, so the branches of
-    the ranking must not compute them anew.
-    """
-    fused = settled(fuse_scores(candidates, weights), "fused")
-    order = [F.col("fused").desc(), F.col("chunk_id").asc_nulls_last()]
-    return rank_in_buckets(fused, ["query_id"], -F.floor(F.col("fused") * 256), order, "rank")
+    """fuse_scores with `rank` 1, 2, ... within the query, ties by chunk_id; a hot query is cut into ranges of that order."""
+    return rank_in_ranges(fuse_scores(candidates, weights), ["query_id"], [F.col("fused").desc(), F.col("chunk_id").asc_nulls_last()], "rank")
 
 
 def kth_highest(rows: DataFrame, column: str, unit: str, name: str, k: int) -> DataFrame:
