@@ -10,34 +10,43 @@ have it, is template, wherever it stands. Lists of page titles under a form that
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lorekiln.operators.ranks import rank_in_buckets
-from lorekiln.session import settled
+from lorekiln.llm.differencing import shared_with_nearest
+from lorekiln.session import discard, settled
 
-#: Pages compared as one cell at most, besides the one on either side; a host with more is cut into ranges of its URL order.
-PAGES_PER_CELL = 500
 #: A template form occurs on at least LEAST_PAGES pages and outside the body on nearly all of them: outside / (pages + 1).
 LEAST_PAGES, OUTSIDE = 3, 0.66
-#: A form that is outside the body on so many pages, at such a rate, is template though no two neighbours happen to share it.
-SURE_PAGES, SURE_OUTSIDE = 8, 0.8
 #: A form heads lists when so many of its pages go on with a title line.
 HEADS_LIST = 0.5
+#: Words of a line that may be a sentence of the body.
+SENTENCE_WORDS = 5
+#: A table of fewer rows is broadcast; a larger one is joined by shuffle, with the same result.
+BROADCAST_ROWS = 200_000
 
 _BULLET = re.compile(r"^(?:[•·▪‣◦»›*+\-–—]\s+)+")
 _CAMEL = re.compile(r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b")
+_DIGITS = re.compile(r"\d+")
 _SEPARATOR = re.compile(r"\s+([·|»›>/—–])\s+")
-_COLON = re.compile(r"^([^:.!?]{1,40}?)\s?:\s+\S")
+_COLON = re.compile(r"^([^:.!?]+?)\s?:\s+\S")
 _SENTENCE = re.compile(r"^(.+?[.!?…])\s+\S")
 
 
+def _masked(text: str) -> str:
+    """Lower case, class names and numbers masked."""
+    return _DIGITS.sub("#", _CAMEL.sub("~", text).lower())
+
+
 def title_form(text: str) -> str:
     """A line or title in lower case, class names and numbers masked, without bullet."""
-    return re.sub(r"\d+", "#", _CAMEL.sub("~", _BULLET.sub("", text.strip())).lower())
+    return _masked(_BULLET.sub("", text.strip()))
 
 
 def line_form(line: str, brand: str) -> str:
@@ -54,20 +63,13 @@ def line_form(line: str, brand: str) -> str:
         text = text[: separator.start()] + " " + separator.group(1)
     elif colon := _COLON.match(text):
         text = colon.group(1) + ":"
-    form = re.sub(r"\d+", "#", _CAMEL.sub("~", text).lower())
+    form = _masked(text)
     return form.replace(brand, "*") if len(brand) >= 3 else form
 
 
-def line_stem(form: str) -> str | None:
-    """The first four words of a longer form: notices of one kind that go on differently. Null for a short form."""
-    words = form.split()
-    return " ".join(words[:4]) + " …" if len(words) >= 5 else None
-
-
 def line_parts(line: str) -> list[str]:
     """The masked parts of a line that separators divide, as of a menu or path; none for another line."""
-    text = _BULLET.sub("", line.strip())
-    parts = _SEPARATOR.split(text)[::2]
+    parts = _SEPARATOR.split(_BULLET.sub("", line.strip()))[::2]
     return [title_form(p) for p in parts] if len(parts) > 1 else []
 
 
@@ -77,93 +79,19 @@ def site_name(host: str) -> str:
     return parts[-2] if len(parts) > 1 else (parts[0] if parts else "")
 
 
-def shared_lines(a: Sequence[str], b: Sequence[str]) -> tuple[set[int], set[int]]:
-    """Positions in a and in b of one longest common subsequence (equal heads and tails are matched first)."""
-    lo = 0
-    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
-        lo += 1
-    ha, hb = len(a), len(b)
-    while ha > lo and hb > lo and a[ha - 1] == b[hb - 1]:
-        ha -= 1
-        hb -= 1
-    in_a = {*range(lo), *range(ha, len(a))}
-    in_b = {*range(lo), *range(hb, len(b))}
-    # only lines that the other page has at all can match
-    common = set(a[lo:ha]) & set(b[lo:hb])
-    ia = [i for i in range(lo, ha) if a[i] in common]
-    ib = [j for j in range(lo, hb) if b[j] in common]
-    if ia and ib:
-        # positions of each line in b, latest first: a longest increasing run of them is a longest common subsequence
-        where: dict[str, list[int]] = {}
-        for j in ib:
-            where.setdefault(b[j], []).insert(0, j)
-        tails: list[int] = []
-        nodes: list[tuple] = []
-        ends: list[int] = []
-        for i in ia:
-            for j in where[a[i]]:
-                left, right = 0, len(tails)
-                while left < right:
-                    mid = (left + right) // 2
-                    if tails[mid] < j:
-                        left = mid + 1
-                    else:
-                        right = mid
-                nodes.append((i, j, ends[left - 1] if left else -1))
-                if left == len(tails):
-                    tails.append(j)
-                    ends.append(len(nodes) - 1)
-                else:
-                    tails[left] = j
-                    ends[left] = len(nodes) - 1
-        at = ends[-1]
-        while at >= 0:
-            i, j, at = nodes[at]
-            in_a.add(i)
-            in_b.add(j)
-    return in_a, in_b
-
-
-def compare_cell(pages: list[list[str]]) -> list[list[tuple[bool, bool]]]:
-    """(shared, alike) of each line of different pages in URL order, each given as its forms.
-
-    A page is compared with the page on either side. Forms are aligned for `shared` and their stems for `alike`.
-    """
-    shared: list[set[int]] = [set() for _ in pages]
-    alike: list[set[int]] = [set() for _ in pages]
-    stems = [[line_stem(f) or f for f in forms] for forms in pages]
-    for i in range(1, len(pages)):
-        forms, stem = shared_lines(pages[i - 1], pages[i]), shared_lines(stems[i - 1], stems[i])
-        for side in (0, 1):
-            shared[i - 1 + side] |= forms[side]
-            alike[i - 1 + side] |= stem[side]
-    return [[(k in s, k in t) for k in range(len(forms))] for forms, s, t in zip(pages, shared, alike)]
-
-
-_LINES = "page_id bigint, section_ord int, line_no int, ord int, form string, title_form string, page bigint, site bigint, stem string, parts array<string>, learn boolean, words boolean, shared boolean, alike boolean"
-
-
-def _cell_lines(cell: pd.DataFrame) -> pd.DataFrame:
-    brand = site_name(cell["host"].iloc[0])
-    pages: dict = {}
-    once = cell.sort_values(["rank", "section_ord", "scraped_at", "title", "content"]).drop_duplicates(["rank", "section_ord"], keep="last")
-    for r in once.itertuples(index=False):
-        pages.setdefault((r.rank, r.page_id, r.page, r.site, r.own), []).append(r)
-    given, place = [], []
-    for (_, page_id, page, site, own), rows in pages.items():
-        forms, at = [], []
-        for r in rows:
-            for i, line in enumerate((r.content or "").split("\n"), 1):
-                if line.strip():
-                    forms.append(line_form(line, brand))
-                    if own:
-                        at.append((page_id, r.section_ord, i, len(at) + 1, forms[-1], title_form(line), page, site, line_stem(forms[-1]), line_parts(line)))
-        given.append(forms)
-        place.append(at)
-    learn = len(given) > 1
-    # of a page that only borders the range nothing is given out: it has its lines in its own range
-    out = [(*a, learn, len(a[4].split()) >= 5, *x) for flags, at in zip(compare_cell(given), place) for a, x in zip(at, flags)]
-    return pd.DataFrame(out, columns=["page_id", "section_ord", "line_no", "ord", "form", "title_form", "page", "site", "stem", "parts", "learn", "words", "shared", "alike"])
+def hashed(text: str) -> int:
+    """A 64-bit hash of a form, as a signed number."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+#: The form of a part that is one class name.
+NAME = hashed("~")
+
+_FORMS = (
+    "page bigint, page_id bigint, site bigint, path string, query string, same string, section array<int>, line array<int>, form array<bigint>, title array<bigint>, "
+    "words array<boolean>, menus array<struct<at int, parts array<bigint>>>, titles array<bigint>"
+)
 
 
 def _place(sections: DataFrame) -> DataFrame:
@@ -176,146 +104,178 @@ def _place(sections: DataFrame) -> DataFrame:
     return rows.select("page_id", "section_ord", "scraped_at", "title", "content", host.alias("host"), path.alias("path"), query.alias("query"))
 
 
-def _pages(rows: DataFrame) -> DataFrame:
-    """(host, path, page_id, query, same, page): each page with a hash of its text; `page` is equal for pages of one path and text."""
-    text = F.md5(F.coalesce("content", F.lit("")))
-    # of repeats the latest counts, nulls as the latest, as in the cells
-    latest = F.max(F.struct(F.col("scraped_at").isNull(), "scraped_at", F.col("title").isNull(), F.coalesce("title", F.lit("")).alias("title"), text.alias("text")))
-    sections = rows.groupBy("host", "path", "page_id", "section_ord").agg(latest.alias("r"), F.min("query").alias("query"))
-    part = F.struct("section_ord", "r.title", "r.text")
-    pages = sections.groupBy("host", "path", "page_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.min("query").alias("query"))
-    one = pages.withColumn("same", F.md5(F.to_json("parts"))).drop("parts")
-    return one.withColumn("page", F.xxhash64("host", "path", "same"))
+def _latest(*columns: str) -> Column:
+    """The latest row of a group by scraped_at, a null being the latest; ties go to the larger values."""
+    return F.max(F.struct(F.col("scraped_at").isNull().alias("n"), "scraped_at", *columns))
 
 
-def _in_url_order(pages: DataFrame) -> DataFrame:
-    """(host, path, page_id, page, rank): one page of each path and text, numbered within its host by path, then query.
+def page_forms(sections: DataFrame) -> DataFrame:
+    """One row a page, an id at one address: the forms of its non-blank lines as hashes, in reading order.
 
-    The ranges are written down, so the numbers are exact whatever was sampled for them; no task sorts a whole host.
+    Of repeated rows of a section the latest counts (ties: the larger title and content), folded on the map side; a page's
+    sections then meet in one row. `same` is a digest of its text.
     """
-    order = ["path", "query", "same"]
-    once = pages.groupBy("host", "path", "same", "page").agg(F.min("query").alias("query"), F.min("page_id").alias("page_id"))
-    ranges = settled(once.repartitionByRange("host", *order).withColumn("range", F.spark_partition_id()), "ranges")
-    return rank_in_buckets(ranges, ["host"], F.col("range"), [F.col(c) for c in order]).select("host", "path", "page_id", "page", "rank")
-
+    once = _place(sections).groupBy("host", "path", "page_id", "section_ord").agg(_latest("title", "content", "query").alias("r"))
+    part = F.struct("section_ord", "r.title", "r.content")
+    pages = once.groupBy("host", "path", "page_id").agg(F.array_sort(F.collect_list(part)).alias("s"), F.min("r.query").alias("query"))
+    source = pages.select(F.xxhash64("host", "path", "page_id").alias("page"), "page_id", F.xxhash64("host").alias("site"), "host", "path", "query", "s")
+    target = T._parse_datatype_string(_FORMS)
+    arrow = to_arrow_schema(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}
+        titles: dict[str, int | None] = {}
+
+        def facts(line: str, brand: str) -> tuple:
+            got = known.get((line, brand))
+            if got is None:
+                form = line_form(line, brand)
+                got = hashed(form), hashed(title_form(line)), len(form.split()) >= SENTENCE_WORDS, [hashed(p) for p in line_parts(line)]
+                if len(known) > 100_000:  # a cache only
+                    known.clear()
+                known[line, brand] = got
+            return got
+
+        def title(text: str) -> int | None:
+            """Null for a title of one word, which is no list item to be told from other lines."""
+            if text not in titles:
+                if len(titles) > 100_000:
+                    titles.clear()
+                form = title_form(text)
+                titles[text] = hashed(form) if " " in form else None
+            return titles[text]
+
+        def page(row: dict) -> tuple:
+            brand = site_name(row["host"])
+            section, number, form, titled, words, menus, names = [], [], [], [], [], [], set()
+            digest = xxhash.xxh3_128()
+            for s in row["s"]:
+                digest.update(repr((s["section_ord"], s["title"], s["content"])).encode("utf-8", "surrogatepass"))
+                if s["title"] is not None:
+                    names.add(title(s["title"]))
+                for i, line in enumerate((s["content"] or "").split("\n"), 1):
+                    if line.strip():
+                        f, t, w, parts = facts(line.strip(), brand)
+                        if parts:
+                            menus.append({"at": len(form), "parts": parts})
+                        section.append(s["section_ord"])
+                        number.append(i)
+                        form.append(f)
+                        titled.append(t)
+                        words.append(w)
+            names.discard(None)
+            return row["page"], row["page_id"], row["site"], row["path"], row["query"], digest.hexdigest(), section, number, form, titled, words, menus, sorted(names)
+
+        for b in batches:
+            for k in range(0, b.num_rows, 128):
+                columns = zip(*map(page, b.slice(k, 128).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
+
+    return source.mapInArrow(run, target)
+
+
+def _look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join that broadcasts the table where it is small for certain; beyond, the shuffle join splits hot keys."""
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, key, "left")
 
-def compared_lines(sections: DataFrame) -> DataFrame:
-    """The non-blank lines of all pages with their form and what the comparison with the nearest pages says; written down.
 
-    Forms leave as 64-bit hashes, since all that follows only groups and joins by them. Of repeated rows of a page's section
-    the latest counts, which is settled inside the cell, so texts are shuffled once.
+def compared_pages(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages with `shared` and `neighbours`, and (page_id, other): the pages that are copies of one of them, by its page_id.
 
     Pages of one path and equal text are one page: one of them is compared, and the others get its lines. All others are
-    different pages, also where they share a path or have no url, next to each other by query and text. A host is cut into
-    ranges of PAGES_PER_CELL such pages, so no task gets an unbounded host, path or directory; the page before and the page
-    after a range are compared in it too, so every page meets its nearest pages whatever the size of its host.
+    different pages, also where they share a path or have no url, next to each other by query and text.
     """
-    rows = _place(sections)
-    pages = settled(_pages(rows), "pages")
-    ranked = settled(_in_url_order(pages), "ranked")
-    cell, at = F.floor((F.col("rank") - 1) / PAGES_PER_CELL), (F.col("rank") - 1) % PAGES_PER_CELL
-    borders = F.array(F.struct(cell.alias("cell"), F.lit(True).alias("own")), F.when((at == 0) & (cell > 0), F.struct((cell - 1).alias("cell"), F.lit(False).alias("own"))), F.when(at == PAGES_PER_CELL - 1, F.struct((cell + 1).alias("cell"), F.lit(False).alias("own"))))
-    cells = ranked.withColumn("c", F.explode(F.filter(borders, lambda c: c.isNotNull()))).select("host", "path", "page_id", "page", "rank", "c.cell", "c.own")
-    keyed = rows.drop("query").join(cells, ["host", "path", "page_id"]).drop("path").withColumn("site", F.xxhash64("host"))
-    found = keyed.groupBy("host", "cell").applyInPandas(_cell_lines, _LINES)
-    stem = F.when(F.col("stem").isNotNull(), F.xxhash64("stem"))
-    hashed = found.withColumns({"form": F.xxhash64("form"), "title_form": F.xxhash64("title_form"), "stem": stem, "parts": F.transform("parts", lambda p: F.xxhash64(p))})
-    lines = settled(_by_titles(hashed, rows), "lines")
-    first = ranked.select("page", F.col("page_id").alias("first"))
-    others = settled(pages.select("page", "page_id").join(first, "page").where("page_id <> first").select("page", F.col("page_id").alias("other")), "others")
-    if others.isEmpty():
-        return lines
-    repeated = lines.join(others, "page").withColumn("page_id", F.col("other")).select(*lines.columns)
-    return settled(lines.unionByName(repeated), "lines")
-
-
-def _by_titles(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """lines with `sentence`, an unshared line of five words or more that is no title of its host, and `heads`, a line with a title line after it and none before it."""
-    titles = rows.where("title is not null").select(F.xxhash64("host").alias("site"), "title").distinct()
-    known = settled(_titles(titles, "site").distinct().withColumn("is_title", F.lit(True)), "site_titles")
-    marked = _look_up(lines, known, ["site", "title_form"])
-    is_title = F.coalesce(F.col("is_title"), F.lit(False))
-    page = Window.partitionBy("page_id", "page").orderBy("ord")
-    heads = F.lead(is_title, 1, False).over(page) & ~F.lag(is_title, 1, False).over(page)
-    return marked.withColumns({"heads": heads, "sentence": ~F.col("shared") & ~is_title & F.col("words")}).drop("is_title", "site", "words")
-
-
-def outside_body(lines: DataFrame) -> DataFrame:
-    """lines with `outside`: before the first or after the last sentence of the page that the corpus has on few pages.
-
-    Null on a page without such a sentence, from which nothing is learned.
+    forms = settled(page_forms(sections), "forms")
+    short = forms.groupBy("site", "path", "same").agg(F.min_by("page", "page_id").alias("page"), F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = settled(short.drop("n"), "groups")
+    names = ["site", "path", "same"]
+    marked = forms.select("page", "page_id", *names).withColumnsRenamed({"page": "p", "page_id": "other"})
+    small = groups.count() <= BROADCAST_ROWS
+    others = settled(marked.join(F.broadcast(groups) if small else groups, names).where("p <> page").select("page_id", "p", "other"), "others")
+    gone = others.select(F.col("p").alias("page"))
+    once = forms.join(F.broadcast(gone) if others.count() <= BROADCAST_ROWS else gone, "page", "left_anti")
+    return shared_with_nearest(once, ["site", "path", "query", "same", "page"], "compared"), others.select("page_id", "other")
+
+
+def marked_lines(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """The lines of the pages, one row each, with what their page says about them; written down. Titles are those of the site.
+
+    `heads`: a title line follows and none precedes. `outside`: before the first or after the last sentence of the page, an
+    unshared line of SENTENCE_WORDS words that is no title and whose form few pages have; null on a page without one, from
+    which nothing is learned. `anchor` and `run`: form and place of the last line above that is no title.
     """
-    often = lines.select("form", "page").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    marked = _look_up(lines, often, "form")
-    body = F.when(F.col("sentence") & F.col("pages").isNull(), F.col("ord"))
-    page = Window.partitionBy("page_id")
-    spans = marked.withColumns({"__lo": F.min(body).over(page), "__hi": F.max(body).over(page)})
-    return spans.withColumn("outside", (F.col("ord") < F.col("__lo")) | (F.col("ord") > F.col("__hi"))).drop("__lo", "__hi", "pages")
+    zipped = F.arrays_zip("section", "line", "form", "title", "words", "shared")
+    lines = pages.select("site", "page", "page_id", (F.col("neighbours") > 0).alias("learn"), F.posexplode(zipped).alias("ord", "l")).select("site", "page", "page_id", "learn", "ord", "l.*")
+    lines = lines.withColumn("title", F.xxhash64("site", "title"))
+    often = settled(pages.select(F.explode(F.array_distinct("form")).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES).select("form", F.lit(True).alias("often")), "often")
+    known = _look_up(_look_up(lines, often, "form"), titles, "title")
+    flat = known.select("page", "page_id", "learn", "ord", "section", "line", "form", "shared", F.col("is_title").isNotNull().alias("is_title"), (F.col("words") & ~F.col("shared") & F.col("often").isNull() & F.col("is_title").isNull()).alias("sentence"))
+    page = Window.partitionBy("page")
+    row = page.orderBy("ord")
+    body = F.when(F.col("sentence"), F.col("ord"))
+    heads = F.lead("is_title", 1, False).over(row) & ~F.lag("is_title", 1, False).over(row)
+    above = F.last(F.when(~F.col("is_title"), F.struct("form", "ord")), ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, -1))
+    spans = flat.withColumns({"heads": heads, "above": above, "__lo": F.min(body).over(page), "__hi": F.max(body).over(page)})
+    outside = (F.col("ord") < F.col("__lo")) | (F.col("ord") > F.col("__hi"))
+    out = settled(spans.select("page", "page_id", "learn", "ord", "section", "line", "form", "shared", "is_title", "heads", F.col("above.form").alias("anchor"), F.coalesce("above.ord", F.lit(-1)).alias("run"), outside.alias("outside")), "lines")
+    discard(often)
+    return out
 
 
 def template_forms(lines: DataFrame) -> DataFrame:
-    """(form, heads_list): forms, and stems of forms, that are template, learned from all pages that had a neighbour."""
-    rows = outside_body(lines).where(F.col("learn") & F.col("outside").isNotNull())
-    stems = rows.where("stem is not null").select(F.col("stem").alias("form"), "page", F.col("alike").alias("shared"), "outside", "heads")
-    per_page = rows.select("form", "page", "shared", "outside", "heads").unionByName(stems).groupBy("form", "page").agg(
-        F.max(F.col("shared").cast("int")).alias("shared"), F.min(F.col("outside").cast("int")).alias("outside"), F.max(F.col("heads").cast("int")).alias("heads")
-    )
+    """(form, heads_list): the forms that are template, learned from all pages that had a neighbour.
+
+    A form is template when two neighbours share it, LEAST_PAGES pages have it, and it is outside the body on nearly all of
+    them or heads lists.
+    """
+    rows = lines.where(F.col("learn") & F.col("outside").isNotNull())
+    flag = lambda c: F.col(c).cast("int").alias(c)
+    per_page = rows.select("form", "page", flag("shared"), flag("outside"), flag("heads")).groupBy("form", "page").agg(F.max("shared").alias("shared"), F.min("outside").alias("outside"), F.max("heads").alias("heads"))
     forms = per_page.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.sum("shared").alias("s"), F.sum("outside").alias("o"), F.sum("heads").alias("t"))
     outside = F.col("o") / (F.col("n") + 1) >= OUTSIDE
     heads = F.col("t") / (F.col("n") + 1) >= HEADS_LIST
-    sure = (F.col("n") >= SURE_PAGES) & (F.col("o") / (F.col("n") + 1) >= SURE_OUTSIDE)
-    return forms.where((F.col("n") >= LEAST_PAGES) & ((F.col("s") >= 1) | sure) & (outside | heads)).select("form", heads.alias("heads_list"))
-
-
-def _look_up(lines: DataFrame, table: DataFrame, key: str | list[str]) -> DataFrame:
-    """Left join that broadcasts the table where it is small for certain; beyond, the shuffle join splits hot keys."""
-    return lines.join(F.broadcast(table) if table.count() <= 200_000 else table, key, "left")
+    return forms.where((F.col("n") >= LEAST_PAGES) & (F.col("s") >= 1) & (outside | heads)).select("form", heads.alias("heads_list"))
 
 
 def boilerplate_lines(sections: DataFrame) -> DataFrame:
     """(page_id, section_ord, line_no) of the lines that are not body, lines counted from 1 with the blank ones.
 
-    A line is boilerplate when its form or its stem is template, when it is a menu or path of template forms and titles, or
-    when it is a page title standing in a list under a form that heads lists. Blank lines never are. Null contents have no lines, pages without neighbours are judged by the forms alone.
+    A line is boilerplate when its form is template, when it is a menu or path of template forms and titles, or when it is a
+    title of the site standing in a list under a form that heads lists. Blank lines never are. Null contents have no lines, pages
+    without neighbours are judged by the forms alone.
     """
-    lines = compared_lines(sections)
-    forms = settled(template_forms(lines), "forms")
-    titles = sections.where("title is not null").select(F.col("title")).distinct()
-    titled = settled(_titles(titles).groupBy("title_form").agg(F.lit(True).alias("is_title")), "titles")
-    marked = _look_up(_look_up(lines.drop("parts"), forms.withColumn("template", F.lit(True)), "form"), titled, "title_form")
-    stems = forms.where("not heads_list").select(F.col("form").alias("stem"), F.lit(True).alias("template_stem"))
-    marked = _look_up(marked, stems, "stem")
-    item = F.col("is_title").isNotNull() & F.col("heads_list").isNull()
-    page = Window.partitionBy("page_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    under = F.last(F.when(~item, F.coalesce("heads_list", F.lit(False))), ignorenulls=True).over(page)
-    judged = marked.select("page_id", "section_ord", "line_no", F.col("template").isNotNull().alias("template"), F.col("template_stem").isNotNull().alias("stem"), (item & F.coalesce(under, F.lit(False))).alias("listed"))
-    found = judged.where("template or stem or listed").select("page_id", "section_ord", "line_no")
-    return found.unionByName(menu_lines(lines, forms, titled)).distinct()
-
-
-def menu_lines(lines: DataFrame, forms: DataFrame, titled: DataFrame) -> DataFrame:
+    pages, others = compared_pages(sections)
+    titles = settled(pages.select("site", F.explode("titles").alias("title")).select(F.xxhash64("site", "title").alias("title")).distinct().withColumn("is_title", F.lit(True)), "titles")
+    lines = marked_lines(pages, titles)
+    forms = settled(template_forms(lines), "templates")
+    lists = forms.where("heads_list").select(F.col("form").alias("anchor"), F.lit(True).alias("under"))
+    judged = _look_up(_look_up(lines, forms.withColumn("template", F.lit(True)), "form"), lists, "anchor")
+    # a run of title lines is a list below the line above it, and below a title in it, where these head lists
+    head = F.col("is_title") & F.coalesce("heads_list", F.lit(False))
+    runs = settled(judged.where(head).groupBy("page", "run").agg(F.min("ord").alias("first")), "runs")
+    items = judged.where(F.col("is_title") & F.col("template").isNull()).join(F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs, ["page", "run"], "left")
+    listed = items.where(F.col("under").isNotNull() | (F.col("ord") > F.col("first")))
+    found = judged.where("template is not null").unionByName(listed, allowMissingColumns=True).select("page_id", "section", "line").unionByName(menu_lines(pages, forms, titles))
+    copies = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    repeated = found.join(copies, "page_id").select(F.col("other").alias("page_id"), "section", "line")
+    return found.unionByName(repeated).distinct().select("page_id", F.col("section").alias("section_ord"), F.col("line").alias("line_no"))
+
+
+def menu_lines(pages: DataFrame, forms: DataFrame, titles: DataFrame) -> DataFrame:
     """Lines of several parts of which one at least is a template form of its own, and half are such forms or titles."""
-    parts = lines.where(F.size("parts") > 1).select("page_id", "section_ord", "line_no", F.size("parts").alias("n"), F.explode("parts").alias("form"))
+    menus = pages.select("site", "page_id", "section", "line", F.explode("menus").alias("m")).select("site", "page_id", F.get("section", F.col("m.at")).alias("section"), F.get("line", F.col("m.at")).alias("line"), F.size("m.parts").alias("n"), "m.parts")
+    parts = menus.select("site", "page_id", "section", "line", "n", F.explode("parts").alias("form"))
     known = _look_up(parts, forms.where("not heads_list").select("form", F.lit(1).alias("t")), "form")
-    known = _look_up(known.withColumnRenamed("form", "title_form"), titled, "title_form")
-    title = F.when(F.col("t").isNull() & (F.col("is_title").isNotNull() | (F.col("title_form") == F.xxhash64(F.lit("~")))), 1)
-    counted = known.groupBy("page_id", "section_ord", "line_no", "n").agg(F.count("t").alias("t"), F.count(title).alias("p"))
-    return counted.where("t >= 1 and 2 * (t + p) >= n").select("page_id", "section_ord", "line_no")
-
-
-def _titles(titles: DataFrame, *keep: str) -> DataFrame:
-    """title_form in the JVM's own expressions; titles of one word are no list items to be told from other lines."""
-    t = F.regexp_replace(F.trim("title"), r"^(?:[•·▪‣◦»›*+\-–—]\s+)+", "")
-    t = F.regexp_replace(t, r"(?U)\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b", "~")
-    t = F.regexp_replace(F.lower(t), r"(?U)\d+", "#")
-    return titles.select(*keep, t.alias("t")).where(F.instr("t", " ") > 0).select(*keep, F.xxhash64("t").alias("title_form"))
+    known = _look_up(known.withColumn("title", F.xxhash64("site", "form")), titles, "title")
+    title = F.when(F.col("t").isNull() & (F.col("is_title").isNotNull() | (F.col("form") == NAME)), 1)
+    counted = known.groupBy("page_id", "section", "line", "n").agg(F.count("t").alias("t"), F.count(title).alias("p"))
+    return counted.where("t >= 1 and 2 * (t + p) >= n").select("page_id", "section", "line")
 
 
 def page_bodies(sections: DataFrame) -> DataFrame:
     """(page_id, section_ord, body): the text of each section without its boilerplate lines; blank lines stay."""
     bad = boilerplate_lines(sections).groupBy("page_id", "section_ord").agg(F.collect_set("line_no").alias("bad"))
-    latest = F.max(F.struct("scraped_at", "title", "content"))
-    rows = sections.where("page_id is not null").groupBy("page_id", "section_ord").agg(latest.alias("r")).select("page_id", "section_ord", "r.content")
+    rows = sections.where("page_id is not null").groupBy("page_id", "section_ord").agg(_latest("title", "content").alias("r")).select("page_id", "section_ord", "r.content")
     lines = F.split(F.col("content"), "\n")
     numbered = F.transform(lines, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
     kept = F.filter(numbered, lambda s: ~F.coalesce(F.array_contains("bad", s["i"]), F.lit(False)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekiln.llm import boilerplate, distinctive, markup, packing, reading, score_fusion, splitting, tokenizing
+from lorekiln.llm import boilerplate, distinctive, markup, packing, reading, residue, score_fusion, splitting, tokenizing
 from lorekiln.session import ready
 from lorekiln.sources.tables import spread, table
 
@@ -22,6 +22,11 @@ def p1_clean(spark: SparkSession, root: str) -> DataFrame:
     return markup.clean_chunks(spread(table(ready(spark), root, "chunks").select("chunk_id", "content"))).distinct().select("chunk_id", "clean", "has_code")
 
 
+def p1_shared(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of chunks that the nearest pages share: the page differencing, for comparison with p1_found."""
+    return residue.shared_chunk_lines(table(ready(spark), root, "chunks"), table(spark, root, "document_records"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return score_fusion.head_candidates(table(spark, root, "search_candidates"))
 
@@ -108,7 +113,7 @@ def p10_levels(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_clean, p2_found, p2_ranking, p3_found, p3_top_terms, p3_logged_terms, p5_found, p5_body, p7_found, p7_pieces,
+        p1_found, p1_clean, p1_shared, p2_found, p2_ranking, p3_found, p3_top_terms, p3_logged_terms, p5_found, p5_body, p7_found, p7_pieces,
         p8_ids, p8_roundtrip, p9_found, p9_containers, p10_found, p10_levels,
     )}
 

@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lorekiln.llm.boilerplate import boilerplate_lines, line_form, page_bodies, shared_lines
+from lorekiln.llm.boilerplate import boilerplate_lines, line_form, page_bodies
+from lorekiln.llm.differencing import shared_lines
 from lorekiln.llm.markup import clean_chunks, clean_markup, marked_chunks
 from lorekiln.llm.splitting import TOKEN, count_tokens, split_oversized, split_text
 
@@ -157,10 +158,7 @@ def test_boilerplate(spark):
     assert bodies[900, 1] == "A body that stands on its own and is long." and bodies[901, 1] is None and bodies[0, 1].startswith("\nThe unique")
 
 
-def test_boilerplate_large_host_and_empty(spark, monkeypatch):
-    import lorekiln.llm.boilerplate as b
-
-    monkeypatch.setattr(b, "PAGES_PER_CELL", 10)
+def test_boilerplate_large_host_and_empty(spark):
     df = spark.createDataFrame([(*r, 1, None) for r in site(60)], SECTIONS)
     assert {(i, 1, 1) for i in range(60)} <= {tuple(r) for r in boilerplate_lines(df).collect()}
     assert boilerplate_lines(df.limit(0)).count() == 0
