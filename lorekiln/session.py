@@ -58,12 +58,55 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no earlier run has used; removed by release()."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+#: Folders that settled() and fresh_path() of this driver have made and nothing has removed yet.
+_made: dict[str, SparkSession] = {}
 
 
 def settled(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives the loss of any executor."""
+    """Write df to the shared folder and read it back: cuts lineage, survives the loss of any executor.
+
+    The folder lasts until discard() or release(), at the latest until the driver ends.
+    """
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of settled tables that nothing will read again."""
+    for df in tables:
+        for f in df.inputFiles():
+            path = next((p for p in _made if f"/{Path(p).name}/" in f), None)
+            if path is not None:
+                _remove(_made.pop(path), path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove every folder this driver has settled: call it once the results of its queries are consumed. Returns their number."""
+    paths = list(_made)
+    for path in paths:
+        _remove(spark, path)
+        _made.pop(path, None)
+    return len(paths)
+
+
+@atexit.register
+def _release_at_end() -> None:
+    """What is left goes when the driver ends, as long as its JVM still answers."""
+    for path, spark in list(_made.items()):
+        try:
+            _remove(spark, path)
+        except Exception:  # noqa: BLE001  a stopped session or JVM cannot remove anything any more
+            return
