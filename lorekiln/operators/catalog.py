@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions.text import short_id, sha256_hex
+from lorekiln.operators.embedding import delete_vectors
 
 #: Columns that a known document takes over from a new delivery; module, version and url keep their first value.
 TAKEN_OVER = ("title", "content_hash", "file_path", "s3_key", "size_bytes", "scraped_at", "synced_at", "schema_version")
@@ -122,7 +125,7 @@ def finish_run(history: DataFrame, run_id: int, at: Column, error: str | None =
 
 
 def sync_summary(history: DataFrame) -> DataFrame:
-    """One row: targets, completed and failed runs, files added, modified and removed, all error messages in order."""
+    """One row: targets, completed and failed runs, files added, modified and removed, runs with an error message."""
     runs = history.distinct()
     done = F.col("status") == "completed"
     return runs.agg(
@@ -134,12 +137,59 @@ def sync_summary(history: DataFrame) -> DataFrame:
     )
 
 
+def sync_errors(history: DataFrame) -> DataFrame:
+    """(started_at, id, error_message): the error messages of all runs, oldest first; null and empty ones are none."""
+    return history.distinct().where(F.coalesce("error_message", F.lit("")) != "").select("started_at", "id", "error_message").orderBy(F.col("started_at").asc_nulls_first(), "id")
+
+
+def start_run(history: DataFrame, run_id: int, module: str, version: str, at: Column, submodule: str | None = None) -> DataFrame:
+    """The history with a run in progress added; an id that is taken is refused."""
+    if not history.where(F.col("id") == run_id).isEmpty():
+        raise ValueError(f"run {run_id} is there already")
+    row = history.sparkSession.range(1).select(
+        F.lit(run_id).cast("long").alias("id"), F.lit(module).alias("module"), F.lit(submodule).cast("string").alias("submodule"), F.lit(version).alias("version"),
+        F.lit("in_progress").alias("status"), at.cast("timestamp_ntz" if dict(history.dtypes)["started_at"] == "timestamp_ntz" else "timestamp").alias("started_at"),
+    )
+    return history.unionByName(row, allowMissingColumns=True)
+
+
+def reindex(records: DataFrame, vectors: DataFrame, module: str | None = None, major: int | None = None, submodule: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records with their flags reset and vectors without the same scope: what a fresh indexing run starts from.
+
+    A module without a submodule means the records that have none (null) and the vectors whose submodule is empty.
+    """
+    return reset_indexed(records, module, major, submodule), delete_vectors(vectors, module=module, major=major, submodule=submodule)
+
+
+def missing_tables(present: Sequence[str], required: Sequence[str]) -> list[str]:
+    """The required tables that are not there, sorted."""
+    return sorted(set(required) - set(present))
+
+
+def batch_counts(results: DataFrame, status: str = "status") -> DataFrame:
+    """(success, skipped, failed, total) of a batch of results."""
+    one = lambda s: F.count_if(F.col(status) == s).alias(s)
+    return results.agg(one("success"), one("skipped"), one("failed"), F.count(F.lit(1)).alias("total"))
+
+
+def with_metadata(records: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Records (id, title, submodule, scraped_at, ...) completed by the metadata of their page: title and submodule of the
+    metadata come first unless empty, scraped_at of the metadata first unless null. A record without metadata stays."""
+    m = metadata.select(F.col("id").alias("__id"), F.nullif("title", F.lit("")).alias("__title"), F.nullif("submodule", F.lit("")).alias("__submodule"), F.col("scraped_at").alias("__at"))
+    joined = records.join(m, records["id"] == m["__id"], "left")
+    given = {"title": "__title", "submodule": "__submodule", "scraped_at": "__at"}
+    return joined.select(*[F.coalesce(given[c], c).alias(c) if c in given else F.col(c) for c in records.columns])
+
+
 def status_report(records: DataFrame, history: DataFrame) -> DataFrame:
-    """Per module and submodule: documents, indexed ones and the latest run. Null submodules meet null submodules."""
-    docs = records.groupBy("module", "submodule").agg(F.count(F.lit(1)).alias("documents"), F.count_if("is_indexed").alias("indexed"))
+    """Per module, submodule and major version: documents, indexed ones and the latest run of the module and submodule.
+
+    Null submodules meet null submodules.
+    """
+    docs = records.groupBy("module", "submodule", "major_version").agg(F.count(F.lit(1)).alias("documents"), F.count_if("is_indexed").alias("indexed"))
     runs = latest_sync(history).select(F.col("module").alias("m"), F.col("submodule").alias("s"), F.col("status").alias("last_status"), F.col("started_at").alias("last_started"))
     joined = docs.join(runs, (docs["module"] == runs["m"]) & docs["submodule"].eqNullSafe(runs["s"]), "left")
-    return joined.select("module", "submodule", "documents", "indexed", "last_status", "last_started")
+    return joined.select("module", "submodule", "major_version", "documents", "indexed", "last_status", "last_started")
 
 
 def validate(records: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -16,32 +16,48 @@ TIERS = {"main": (2048, 200), "slim": (512, 50), "xslim": (384, 40)}
 # Where a window is cut by preference, each looked for from the half of the window on.
 BREAKS = ("\n\n", "\n- ", "\n* ", ". ", "! ", "? ", "; ")
 _FENCE = re.compile("```")
+_HEADING = re.compile(r"(#{1,6})\s+(.+)$")
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
-def heading_sections(markdown: Column) -> Column:
-    """array<struct<path, content>>: the sections of a markdown text, split at ATX headings (also inside code fences).
+def text_sections(markdown: str) -> list[tuple[str, str]]:
+    """(path, content) of the sections of a markdown text, split at ATX headings (also inside code fences), in one pass.
 
     A heading opens a section and stays in it; its path is the titles above it joined by ` > `. Text before the first
-    heading has path ''. Blank sections are left out.
+    heading has path ''. Sections without lines do not occur; blank ones stay.
     """
-    lines = F.split(markdown, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]")
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<path:string,lines:array<string>>>").alias("out"))
+    out: list[tuple[str, list[str]]] = []
+    titles: list[str] = []
+    for line in markdown.splitlines():
+        head = _HEADING.match(line.strip())
+        if head:
+            titles = [*titles[: len(head[1]) - 1], head[2].strip()]
+        if head or not out:
+            out.append((" > ".join(titles), []))
+        out[-1][1].append(line)
+    return [(path, "\n".join(lines)) for path, lines in out]
+
+
+def _each_row(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """Run a generator over each row in Arrow batches; its tuples become rows of `schema`."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([x for r in b.itertuples(index=False) for x in rows(*r)], columns=names)
+
+    return df.mapInPandas(run, schema)
+
+
+def heading_sections(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, section, path, content): the non-blank sections of each text in order; a null text has none. A narrow pass."""
 
-    def step(state: Column, line: Column) -> Column:
-        plain = F.trim(line)
-        head = plain.rlike(r"^#{1,6}\s+\S")
-        level = F.length(F.regexp_extract(plain, r"^(#{1,6})", 1))
-        title = F.trim(F.regexp_replace(plain, r"^#{1,6}\s+", ""))
-        path = F.when(head, F.concat(F.slice(state["path"], F.lit(1), level - 1), F.array(title))).otherwise(state["path"])
-        opened = F.concat(state["out"], F.array(F.struct(F.array_join(path, " > ").alias("path"), F.array(line).alias("lines"))))
-        last = F.element_at(state["out"], -1)
-        grown = F.concat(F.slice(state["out"], F.lit(1), F.size(state["out"]) - 1), F.array(F.struct(last["path"].alias("path"), F.concat(last["lines"], F.array(line)).alias("lines"))))
-        return F.struct(path.alias("path"), F.when(head | (F.size(state["out"]) == 0), opened).otherwise(grown).alias("out"))
+    def rows(k, t):
+        for i, (path, content) in enumerate(text_sections(t) if t is not None else []):
+            if content.strip():
+                yield k, i, path, content
 
-    sections = F.aggregate(lines, start, step, lambda s: s["out"])
-    joined = F.transform(sections, lambda s: F.struct(s["path"].alias("path"), F.array_join(s["lines"], "\n").alias("content")))
-    return F.filter(joined, lambda s: F.trim(F.regexp_replace(s["content"], r"\s+", " ")) != "")
+    return _each_row(documents.select(key, text), rows, f"{key} {dict(documents.dtypes)[key]}, section int, path string, content string")
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
@@ -52,17 +68,20 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 def natural_end(text: str) -> str:
     """A window without its last, incomplete part: cut before an open fence late in it, else after the preferred break."""
     fences = [m.start() for m in _FENCE.finditer(text)]
-    if len(fences) % 2 and fences[-1] > len(text) * 0.4:
-        return text[: fences[-1]].strip()
+    if len(fences) % 2 and fences[-1] > len(text) * 0.4 and (before := text[: fences[-1]].strip()):
+        return before
     for mark in BREAKS:
         at = text.rfind(mark, len(text) // 2)
         if at >= 0:
             return text[: at + len(mark)].strip()
-    return text
+    return text.strip()
 
 
 def token_windows(text: str, limit: int, overlap: int, spans: Callable[[str], list[tuple[int, int]]] = word_spans) -> Iterator[str]:
-    """Windows of at most `limit` tokens; each but the last ends at a natural break, the next begins `overlap` tokens before it."""
+    """Windows of at most `limit` tokens; each but the last ends at a natural break, the next begins `overlap` tokens before it.
+
+    A window that a break would leave empty is taken whole.
+    """
     found = spans(text)
     if len(found) <= limit:
         yield text
@@ -70,39 +89,38 @@ def token_windows(text: str, limit: int, overlap: int, spans: Callable[[str], li
     first = 0
     while first < len(found):
         last = min(first + limit, len(found))
-        window = text[found[first][0] : found[last - 1][1]].strip()
+        whole = text[found[first][0] : found[last - 1][1]].strip()
+        window = whole if last == len(found) else natural_end(whole) or whole
+        yield window
         if last == len(found):
-            yield window
             return
-        window = natural_end(window)
-        if window:
-            yield window
         first += max(1, len(spans(window)) - overlap)
 
 
 def chunk_markdown(documents: DataFrame, tier: str = "main", spans: Callable[[str], list[tuple[int, int]]] = word_spans) -> DataFrame:
     """chunk_id, document_id, chunk_index, section_path, content, content_hash, has_code of documents (document_id, markdown).
 
-    Cleaning and sections stay in the JVM; only sections are handed to Python, in Arrow batches, for the windows whose step
-    depends on where they were cut. Blank chunks are left out; a null or empty text has none.
+    Cleaning and hashing stay in the JVM; sections and windows, whose step depends on where they were cut, are one linear
+    pass in Arrow batches. A document's chunks leave numbered, so nothing is shuffled. Contents have no white space at
+    their ends and blank chunks are left out; a null or empty text has none.
     """
     limit, overlap = TIERS[tier]
-    sections = documents.select("document_id", F.posexplode(heading_sections(clean_content(F.col("markdown")))).alias("s", "section"))
-    flat = sections.select("document_id", "s", "section.path", "section.content")
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, s, w, p, t) for d, s, p, c in b.itertuples(index=False) for w, t in enumerate(token_windows(c, limit, overlap)) if t.strip()]
-            yield pd.DataFrame(rows, columns=["document_id", "s", "w", "section_path", "content"])
+    def rows(d, text):
+        pieces = (
+            (path, content)
+            for path, section in (text_sections(text) if text is not None else [])
+            for w in token_windows(section, limit, overlap, spans)
+            if (content := w.strip())
+        )
+        for i, (path, content) in enumerate(pieces):
+            yield d, i, path, content
 
     kind = dict(documents.dtypes)["document_id"]
-    parts = flat.mapInPandas(windows, f"document_id {kind}, s int, w int, section_path string, content string")
-    one = parts.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("s", "w", "section_path", "content"))).alias("c"))
-    out = one.select("document_id", F.posexplode("c").alias("chunk_index", "c"))
+    out = _each_row(documents.select("document_id", clean_content(F.col("markdown")).alias("markdown")), rows, f"document_id {kind}, chunk_index int, section_path string, content string")
     return out.select(
         F.concat_ws("-", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "document_id", "chunk_index",
-        F.col("c.section_path").alias("section_path"), F.col("c.content").alias("content"), sha256_hex(F.col("c.content")).alias("content_hash"),
-        F.col("c.content").contains("`").alias("has_code"),
+        "section_path", "content", sha256_hex(F.col("content")).alias("content_hash"), F.col("content").contains("`").alias("has_code"),
     )
 
 

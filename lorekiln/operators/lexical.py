@@ -69,21 +69,44 @@ def query_terms(query: str) -> dict[str, int]:
     return out
 
 
-def bm25_scores(index: Index, query: str) -> DataFrame:
-    """(id, score) of every document, 0 without a term of the query, rounded to 6 places so that equal texts tie.
+def _matching(index: Index, query: str) -> tuple[DataFrame, bool]:
+    """(id, score) of the documents with a term of the query, and whether a term counts against a document.
 
-    Only the postings of the query's terms are read and joined; a term's idf comes from the whole collection.
+    Only the postings of the query's terms are read. Their idf, one number a term from the whole collection, is fetched
+    first, so nothing is joined.
     """
     terms = query_terms(query)
-    wanted = index.postings.where(F.col("term").isin(*terms)) if terms else index.postings.limit(0)
-    weight = F.create_map(*[x for t, k in terms.items() for x in (F.lit(t), F.lit(float(k)))]) if terms else None
-    stats = index.terms.where(F.col("term").isin(*terms)) if terms else index.terms.limit(0)
+    known = {r["term"]: r["idf"] for r in index.terms.where(F.col("term").isin(*terms)).collect()} if terms else {}  # a row a term
+    if not known:
+        return index.lengths.limit(0).select("id", F.lit(0.0).alias("score")), False
+    weight = F.create_map(*[x for t, v in known.items() for x in (F.lit(t), F.lit(v * terms[t]))])
     tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (index.avgdl or 1.0)))
-    if weight is not None:
-        part = part * F.try_element_at(weight, F.col("term"))
-    found = wanted.join(stats.select("term", "idf"), "term").groupBy("id").agg(F.sum(part).alias("s"))
-    return index.lengths.select("id").join(found, "id", "left").select("id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
+    part = F.try_element_at(weight, F.col("term")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (index.avgdl or 1.0)))
+    found = index.postings.where(F.col("term").isin(*known)).groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+    return found, min(known.values()) < 0
+
+
+def bm25_scores(index: Index, query: str) -> DataFrame:
+    """(id, score) of every document, 0 without a term of the query, rounded to 6 places so that equal texts tie."""
+    found, _ = _matching(index, query)
+    return index.lengths.select("id").join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def bm25_top(index: Index, query: str, k: int, ids: DataFrame | None = None) -> DataFrame:
+    """(id, score, rank): the k best of bm25_scores, of the documents in `ids` (unique) only if given; ties by id.
+
+    The statistics stay those of the whole collection. Documents without a term fill the list in the order of their ids: the
+    2 k smallest ids hold enough of them, so the collection is not joined. Only where a term counts against a document,
+    which needs a term in most of a very small collection, all scores are compared.
+    """
+    found, against = _matching(index, query)
+    every = (index.lengths if ids is None else ids).select("id")
+    if against:
+        scored = every.join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+        return top(scored, k)
+    best = top(found if ids is None else found.join(every, "id", "left_semi"), k).select("id", "score")
+    fill = every.orderBy("id").limit(2 * k).join(F.broadcast(best.select("id")), "id", "left_anti").select("id", F.lit(0.0).alias("score"))
+    return top(best.unionByName(fill), k)
 
 
 def top(scores: DataFrame, k: int, descending: bool = True, name: str = "rank") -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions.version import parse_version
@@ -72,13 +75,52 @@ def drop_manifests(cache: DataFrame, targets: DataFrame) -> DataFrame:
     return cache.join(t, same, "left_anti")
 
 
-def upload_status(target: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
-    """key, status: `uploaded` for new or changed content (all with force), `skipped` for what is there with the same hash."""
-    have = existing.select(F.col("key"), F.col("content_hash").alias("have")).dropDuplicates(["key"])
+def upload_status(target: DataFrame, existing: DataFrame, force: bool = False, order: str = "last_modified") -> DataFrame:
+    """key, status: `uploaded` for new or changed content (all with force), `skipped` for what is there with the same hash.
+
+    Of several existing rows of a key the first by `order` counts, ties by the smaller hash.
+    """
+    have = existing.groupBy("key").agg(F.min(F.struct(order, "content_hash")).alias("r")).select("key", F.col("r.content_hash").alias("have"))
     same = F.col("have") == F.col("content_hash")
     return target.join(have, "key", "left").select("key", F.when(F.coalesce(same, F.lit(False)) & F.lit(not force), "skipped").otherwise("uploaded").alias("status"))
 
 
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A manifest file, or no rows where there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).option("multiLine", True).json(path) if there else spark.createDataFrame([], schema)
+
+
+def cached_manifest(cache: DataFrame, module: str, version: str, submodule: str | None = None) -> DataFrame:
+    """The newest cached manifest of one target (null-safe submodule): manifest_hash, fetched_at and its parsed head.
+
+    JSON that does not parse gives nulls.
+    """
+    same = (F.col("module") == module) & F.col("submodule").eqNullSafe(F.lit(submodule)) & (F.col("version") == version)
+    doc = F.from_json("manifest_json", "file_count int, total_size_bytes bigint, pack_hash string, generated_at string")
+    rows = cache.where(same).orderBy(F.col("fetched_at").desc(), F.col("manifest_hash")).limit(1)
+    return rows.select("module", "submodule", "version", "manifest_hash", "fetched_at", doc.alias("d")).select("module", "submodule", "version", "manifest_hash", "fetched_at", "d.file_count", "d.total_size_bytes", "d.pack_hash")
+
+
+def distinct_objects(listings: Sequence[DataFrame], skip: str = "manifest.json") -> DataFrame:
+    """The objects of several listings (key, size_bytes, ...), each key as the first listing that has it gives it; manifests left out."""
+    numbered = [df.withColumn("__n", F.lit(i)) for i, df in enumerate(listings)]
+    every = reduce(DataFrame.unionByName, numbered)
+    columns = [c for c in every.columns if c not in ("key", "__n")]
+    one = every.where(~F.col("key").endswith(skip)).groupBy("key").agg(F.min(F.struct("__n", *columns)).alias("r"))
+    return one.select("key", *[f"r.{c}" for c in columns])
+
+
+def freshness(stored: DataFrame, latest: DataFrame) -> DataFrame:
+    """scope, token, action: `skip` where the stored token (scope, token) is the latest one, else `refresh`; scopes without a
+    latest token are `missing` and keep the stored one."""
+    s = stored.select(F.col("scope"), F.col("token").alias("have"))
+    n = latest.groupBy("scope").agg(F.max("token").alias("token"))
+    action = F.when(F.col("token").isNull(), "missing").when(F.col("token").eqNullSafe(F.col("have")), "skip").otherwise("refresh")
+    return n.join(s, "scope", "full").select("scope", F.coalesce("token", "have").alias("token"), action.alias("action"))
+
+
 SNAPSHOT = r"^(?:(.*)/)?(chroma_db|sqlite_metadata)_(\d{4}_\d{2}_\d{2}(?:_\d{2}_\d{2}_\d{2})?)\.zip$"
 
 

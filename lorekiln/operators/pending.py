@@ -16,8 +16,9 @@ def _hash_key(c: str) -> Column:
     return F.nullif(F.lower(F.trim(F.col(c))), F.lit(""))
 
 
-def _bucket(c: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(""))), F.lit(buckets)).cast("int")
+def bucket_of(c: str, buckets: int = BUCKETS) -> Column:
+    """The bucket of a key: its MD5, of which the first 15 hex digits count, so that other systems find the same one."""
+    return F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(c), F.lit(""))), 1, 15), 16, 10).cast("long"), F.lit(buckets)).cast("int")
 
 
 def current_rows(records: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def fingerprints(df: DataFrame, key: str, columns: list[str], buckets: int) -> D
     The sum is taken over decimal(38) and folded to a long, so it never overflows for fewer than 1e18 rows.
     """
     row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
-    hashed = df.select(_bucket(key, buckets).alias("bucket"), row.cast("decimal(38,0)").alias("h"))
+    hashed = df.select(bucket_of(key, buckets).alias("bucket"), row.cast("decimal(38,0)").alias("h"))
     return hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("h").cast("string").alias("digest"))
 
 
@@ -107,16 +108,16 @@ class PendingTable:
         kept = self._kept(records.sparkSession).withColumnRenamed("print", "old")
         return now.join(kept, "bucket", "full").where(~F.col("print").eqNullSafe(F.col("old"))).select("bucket", "print")
 
-    def refresh(self, records: DataFrame, log: DataFrame, history: DataFrame) -> int:
-        """Bring the table up to date; returns the number of buckets recomputed (at most `buckets`)."""
+    def refresh(self, records: DataFrame, log: DataFrame, history: DataFrame) -> list[int]:
+        """Bring the table up to date; returns the buckets recomputed, in order (at most `buckets` numbers)."""
         spark = records.sparkSession
         todo = self.changed(records, log, history).collect()  # one short row a bucket
         if not todo:
-            return 0
+            return []
         ids = [r["bucket"] for r in todo]
         every = len(ids) == self.buckets
-        part = lambda df, key: df if every else df.where(_bucket(key, self.buckets).isin(ids))
-        rows = pending_records(part(records, "id"), part(log, "document_id"), history).withColumn("bucket", _bucket("id", self.buckets))
+        part = lambda df, key: df if every else df.where(bucket_of(key, self.buckets).isin(ids))
+        rows = pending_records(part(records, "id"), part(log, "document_id"), history).withColumn("bucket", bucket_of("id", self.buckets))
         # a bucket without pending rows is replaced too: a marker row keeps the overwrite of its partition
         marks = spark.createDataFrame([(b,) for b in ids], "bucket int").select(
             F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("string").alias("indexed_hash"),
@@ -127,7 +128,7 @@ class PendingTable:
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/rows")
         prints = spark.createDataFrame([(r["print"], r["bucket"]) for r in todo], "print string, bucket int")
         prints.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/prints")
-        return len(ids)
+        return sorted(ids)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The pending records as of the last refresh, with their bucket."""

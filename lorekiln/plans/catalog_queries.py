@@ -139,8 +139,8 @@ def latest_sync(spark: SparkSession, root: str) -> DataFrame:
     return C.latest_sync(table(spark, root, "sync_history")).select("module", "submodule", "id", "status", "started_at")
 
 
-@query(f"""with {_CURRENT}, {_LATEST}, d as (select module, submodule, count(*) as documents, count(*) filter (is_indexed) as indexed from cur group by module, submodule)
-select d.module, d.submodule, documents, indexed, l.status as last_status, l.started_at as last_started from d left join latest l on d.module = l.module and d.submodule is not distinct from l.submodule""")
+@query(f"""with {_CURRENT}, {_LATEST}, d as (select module, submodule, major_version, count(*) as documents, count(*) filter (is_indexed) as indexed from cur group by module, submodule, major_version)
+select d.module, d.submodule, major_version, documents, indexed, l.status as last_status, l.started_at as last_started from d left join latest l on d.module = l.module and d.submodule is not distinct from l.submodule""")
 def status_report(spark: SparkSession, root: str) -> DataFrame:
     return C.status_report(current(spark, root), table(spark, root, "sync_history"))
 
@@ -232,10 +232,14 @@ def manifest_targets(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "local_manifest").select("module", "submodule", "version").distinct()
 
 
-@query("""select max(manifest_hash) as manifest_hash, count(*) as deliveries from local_manifest where module = 'spring-boot' and submodule is not distinct from null""")
+@query("""with t as (select module, version from local_manifest where submodule is null group by all order by module, version limit 1),
+m as (select l.* from local_manifest l join t using (module, version) where submodule is null order by fetched_at desc, manifest_hash limit 1)
+select module, submodule, version, manifest_hash, fetched_at, cast(case when json_valid(manifest_json) then json_extract(manifest_json, '$.file_count') end as int) as file_count,
+ cast(case when json_valid(manifest_json) then json_extract(manifest_json, '$.total_size_bytes') end as bigint) as total_size_bytes, case when json_valid(manifest_json) then json_extract_string(manifest_json, '$.pack_hash') end as pack_hash from m""")
 def manifest_lookup(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "local_manifest").where((F.col("module") == "spring-boot") & F.col("submodule").eqNullSafe(F.lit(None)))
-    return rows.agg(F.max("manifest_hash").alias("manifest_hash"), F.count(F.lit(1)).alias("deliveries"))
+    rows = table(spark, root, "local_manifest")
+    target = rows.where("submodule is null").select("module", "version").distinct().orderBy("module", "version").first()
+    return M.cached_manifest(rows, target["module"], target["version"])
 
 
 _OBJECTS = """objects as (select case when o_orderkey % 3 = 0 then 'main/' else '' end || case when o_orderkey % 2 = 0 then 'chroma_db_' else 'sqlite_metadata_' end || strftime(o_orderdate, '%Y_%m_%d') || '.zip' as key,
@@ -276,7 +280,7 @@ def sync_targets(spark: SparkSession, root: str) -> DataFrame:
 def upload_status(spark: SparkSession, root: str) -> DataFrame:
     log = table(spark, root, "index_log").select("document_id", F.lower("content_hash").alias("have")).distinct()
     rows = current(spark, root)
-    have = rows.join(log, (rows["id"] == log["document_id"]) & (rows["content_hash"] == log["have"]), "left_semi").select(F.col("s3_key").alias("key"), "content_hash")
+    have = rows.join(log, (rows["id"] == log["document_id"]) & (rows["content_hash"] == log["have"]), "left_semi").select(F.col("s3_key").alias("key"), "content_hash", F.col("scraped_at").alias("last_modified"))
     return M.upload_status(rows.select(F.col("s3_key").alias("key"), "content_hash"), have)
 
 

@@ -29,6 +29,19 @@ def p4_partitions(spark: SparkSession, root: str) -> DataFrame:
     return after.join(before, "bucket", "full").select("bucket", (~F.col("print").eqNullSafe(F.col("old"))).alias("changed"))
 
 
+def p4_rewritten(spark: SparkSession, root: str) -> DataFrame:
+    """(bucket, pending) of the buckets that the last completed run changes: a table as of before it, brought up to date."""
+    records, log, history = _inputs(spark, root)
+    tried = log.select(F.col("run_id").alias("id")).distinct()
+    last = history.where("status = 'completed'").join(tried, "id", "left_semi").agg(F.max("id")).first()[0]
+    pending = PendingTable(fresh_path(spark, "pending"))
+    pending.refresh(records, log.where(F.col("run_id") != last), history.where(F.col("id") != last))
+    changed = pending.refresh(records, log, history)
+    counts = pending.read(spark).groupBy("bucket").agg(F.count(F.lit(1)).alias("pending"))
+    rows = spark.createDataFrame([(b,) for b in changed], "bucket int")
+    return rows.join(counts, "bucket", "left").select("bucket", F.coalesce("pending", F.lit(0)).alias("pending"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return snapshot_changes(table(spark, root, "local_manifest")).select("manifest_hash", "path", "change_type")
 
@@ -37,7 +50,7 @@ def p6_changes(spark: SparkSession, root: str) -> DataFrame:
     return snapshot_changes(table(spark, root, "local_manifest"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_partitions, p6_found, p6_changes)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_partitions, p4_rewritten, p6_found, p6_changes)}
 
 _SNAPSHOTS = """
 with readable as (
@@ -56,7 +69,29 @@ prev as (select f.module, f.submodule, f.version, p.manifest_hash, f.path, f.h f
   on f.module is not distinct from p.module and f.submodule is not distinct from p.submodule and f.version is not distinct from p.version and f.ord = p.ord - 1)
 """
 
+_BUCKET = "cast(cast('0x' || substr(md5(coalesce({0}, '')), 1, 15) as bigint) % 64 as int)"
+_PENDING = """cur as (select id, synced_at, nullif(lower(trim(content_hash)), '') as h,
+    row_number() over (partition by id order by scraped_at desc nulls last, synced_at desc nulls last, lower(content_hash) desc nulls last) as r from document_records),
+done as (select distinct id from sync_history where status = 'completed'),
+tries as (select document_id, nullif(lower(trim(content_hash)), '') as h,
+    row_number() over (partition by document_id order by logged_at desc nulls last, lower(content_hash) desc nulls last) as r
+  from index_log where outcome = 'ok' and run_id in (select id from done)),
+pending as (select c.id from cur c left join tries t on t.document_id = c.id and t.r = 1
+  where c.r = 1 and c.synced_at is not null and (t.h is null or c.h is null or t.h <> c.h))"""
+
 SQL = {
+    "p4_partitions": f"""
+with runs as (select id, max(case when status = 'completed' then 1 else 0 end) as done, max(case when status = 'completed' and status <> 'failed' then 1 else 0 end) as kept,
+    max(case when status <> 'failed' then 1 else 0 end) as there from sync_history group by id),
+used as (select distinct {_BUCKET.format("id")} as bucket from document_records union select distinct {_BUCKET.format("document_id")} from index_log),
+moved as (select distinct {_BUCKET.format("document_id")} as bucket from index_log l join runs r on r.id = l.run_id where r.there = 0)
+select bucket, bucket in (select bucket from moved) as changed from used""",
+    "p4_rewritten": f"""
+with {_PENDING},
+last as (select max(id) as id from sync_history where status = 'completed' and id in (select run_id from index_log)),
+moved as (select distinct {_BUCKET.format("document_id")} as bucket from index_log where run_id = (select id from last)),
+counts as (select {_BUCKET.format("id")} as bucket, count(*) as pending from pending group by 1)
+select bucket, coalesce(pending, 0) as pending from moved left join counts using (bucket)""",
     "p4_found": """
 with cur as (select id, synced_at, nullif(lower(trim(content_hash)), '') as h,
     row_number() over (partition by id order by scraped_at desc nulls last, synced_at desc nulls last, lower(content_hash) desc nulls last) as r from document_records),

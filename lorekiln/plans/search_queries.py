@@ -12,7 +12,7 @@ from lorekiln.operators import fusion as R
 from lorekiln.operators import lexical as L
 from lorekiln.operators import search as S
 from lorekiln.operators import wiki as W
-from lorekiln.session import ready
+from lorekiln.session import exists, fresh_path, ready
 from lorekiln.sources.tables import spread, table
 
 QUERIES, SQL = {}, {}
@@ -44,8 +44,22 @@ part as (select p.doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a
 scores as (select lens.doc_id as id, round(coalesce(s, 0.0), 6) as score from lens left join part using (doc_id))"""
 
 
+#: Where the index over the documents of a folder was written, by folder and state of its files.
+_indexes: dict[tuple, str] = {}
+
+
 def _index(spark: SparkSession, root: str) -> L.Index:
-    return L.build_index(spread(table(spark, root, "documents").select("doc_id", "text")), "doc_id", "text")
+    """The written index of the folder's documents; built by the first query that asks for it, anew when the files change."""
+    documents = table(spark, root, "documents").select("doc_id", "text")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in documents.inputFiles()]
+    states = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+    key = (spark.sparkContext.applicationId, root, len(states), sum(s.getLen() for s in states), max((s.getModificationTime() for s in states), default=0))
+    if not exists(_indexes.get(key)):
+        path = fresh_path(spark, "index")
+        L.build_index(spread(documents), "doc_id", "text").write(path)
+        _indexes[key] = path
+    return L.read_index(spark, _indexes[key])
 
 
 def _vector(spark: SparkSession, root: str) -> list[float]:
@@ -56,15 +70,14 @@ def _vector(spark: SparkSession, root: str) -> list[float]:
 
 @query(f"with {_BM25} select id, score, cast(row_number() over (order by score desc, id) as int) as rank from scores order by score desc, id limit 20")
 def bm25_search(spark: SparkSession, root: str) -> DataFrame:
-    return L.top(L.bm25_scores(_index(spark, root), ASKED), 20)
+    return L.bm25_top(_index(spark, root), ASKED, 20)
 
 
 @query(f"with {_BM25}, f as (select scores.* from scores join documents d on d.doc_id = id where d.module = 'spring-boot') select id, score from f order by score desc, id limit 20")
 def bm25_filtered(spark: SparkSession, root: str) -> DataFrame:
     """The filter comes after scoring, so the statistics stay those of the whole collection."""
-    scores = L.bm25_scores(_index(spark, root), ASKED)
     kept = table(spark, root, "documents").where("module = 'spring-boot'").select(F.col("doc_id").alias("id"))
-    return L.top(scores.join(kept, "id", "left_semi"), 20).select("id", "score")
+    return L.bm25_top(_index(spark, root), ASKED, 20, kept).select("id", "score")
 
 
 @query(f"with {_BM25} select term, df, round(idf, 9) as idf from terms")
@@ -163,6 +176,56 @@ def native_hybrid(spark: SparkSession, root: str) -> DataFrame:
     return found.select("id", "score", "dense_rank", "sparse_rank")
 
 
+_WITH_SCOPE = "documents_of as (select doc_id as id, coalesce(url, '') as url, module, content_type as submodule, extract('month' from fetched_at) as version_major from documents)"
+
+
+def _tool_sql(k: int, module: str | None, version: int | None, submodule: str | None, threshold: float, tail: str) -> str:
+    hit = " and ".join([f"module = '{module}'"] * (module is not None) + [f"version_major = {version}"] * (version is not None)) or "true"
+    keep = f"score >= {threshold}" + (f" and lower(coalesce(submodule, '')) = '{submodule}'" if submodule else "")
+    return f"""with {_BM25}, {_DIST}, {_WITH_SCOPE}, kept as (select * from documents_of where {hit}),
+sp as (select id, row_number() over (order by score desc, id) as sr from scores where id in (select id from kept) order by score desc, id limit {5 * k}),
+de as (select id, row_number() over (order by distance, id) as dr from dist where {"id in (select id from kept)" if hit != "true" else "true"} order by distance, id limit {5 * k}),
+fused as (select coalesce(sp.id, de.id) as id, round(coalesce(1e0 / (6e1 + dr), 0e0) + coalesce(1e0 / (6e1 + sr), 0e0), 9) as score, cast(dr as int) as dense_rank, cast(sr as int) as sparse_rank from sp full join de on sp.id = de.id),
+rows as (select d.*, score, dense_rank, sparse_rank from documents_of d join fused using (id)),
+dedup as (select * exclude (r) from (select *, row_number() over (partition by case when trim(url) = '' then '~' || id else url end {_ORDER}) as r from rows) where r = 1),
+wide as (select * from dedup {_ORDER} limit {5 * k}), items as (select * from wide where {keep} {_ORDER} limit {k}) {tail}"""
+
+
+_ITEMS = f"select id, score, dense_rank, sparse_rank, cast(row_number() over ({_ORDER}) as int) as place from items"
+_STATUS = """select case when (select count(*) from items) > 0 then 'success' when count(*) > 0 then 'below_threshold' else 'no_results' end as status, count(*) as results_found,
+ (select count(*) from items) as results_returned, max(score) as max_score from wide"""
+
+
+def _tool(spark: SparkSession, root: str, **arguments) -> S.Response:
+    """Documents stand for chunks here: the content type for a submodule, the month for a version."""
+    rows = table(spark, root, "documents").select(
+        F.col("doc_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"), "module", F.col("content_type").alias("submodule"), F.month("fetched_at").alias("version_major"),
+    )
+    return S.tool_search(_index(spark, root), table(spark, root, "embeddings"), rows, ASKED, _vector(spark, root), **arguments)
+
+
+@query(_tool_sql(5, None, None, None, 0.01, _ITEMS))
+def tool_search(spark: SparkSession, root: str) -> DataFrame:
+    return _tool(spark, root, top_k=5).items.select("id", "score", "dense_rank", "sparse_rank", "place")
+
+
+@query(_tool_sql(5, "spring-boot", 3, None, 0.01, _ITEMS))
+def tool_search_scoped(spark: SparkSession, root: str) -> DataFrame:
+    return _tool(spark, root, top_k=5, module="spring-boot", version=3).items.select("id", "score", "dense_rank", "sparse_rank", "place")
+
+
+@query(_tool_sql(10, None, None, "guide", 0.012, _ITEMS))
+def tool_search_submodule(spark: SparkSession, root: str) -> DataFrame:
+    return _tool(spark, root, top_k=10, submodule="Guide", threshold=0.012).items.select("id", "score", "dense_rank", "sparse_rank", "place")
+
+
+@query(" union all ".join(f"select * from ({_tool_sql(3, m, None, s, t, _STATUS)})" for m, s, t in ((None, None, 0.01), (None, None, 0.9), ("no-module", None, 0.01), (None, "none", 0.01))))
+def tool_status(spark: SparkSession, root: str) -> DataFrame:
+    cases = ({}, {"threshold": 0.9}, {"module": "no-module"}, {"submodule": "None"})
+    rows = [_tool(spark, root, **c).status.drop("message") for c in cases]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @query(f"""with {_HYBRID}, top as (select *, cast(row_number() over ({_ORDER}) as int) as place from dedup {_ORDER} limit 10)
 select place, '<doc_chunk module="' || module || '" version="v1.0" url="' || url || '" rank="' || place || '" score="' || printf('%.4f', score) || '">' || chr(10) || '  <breadcrumb>' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
   || '</breadcrumb>' || chr(10) || '  <content>' || replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</content>' || chr(10) || '</doc_chunk>' as item,
@@ -192,19 +255,7 @@ def doc_stats(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", words.alias("words"), T.content_matches(F.col("text"), T.sha256_hex(F.coalesce("text", F.lit("")))).alias("has_text"))
 
 
-@query(r"""select distinct chunk_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(?m)Copied!$', '', 'g'), 'Copied!\s*```', '```', 'g'), '```\s*Copied!', '```', 'g'), 'Copied!(\s|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{0b}\x{85}\x{a0}]+|[\s\x{0b}\x{85}\x{a0}]+$', '', 'g') as content from chunks where not contains(content, chr(13))""")
-def md_clean(spark: SparkSession, root: str) -> DataFrame:
-    return _cleaned(_chunks_of_sql(spark, root))
-
-
-@query()
-def md_clean_all(spark: SparkSession, root: str) -> DataFrame:
-    return _cleaned(_chunks(spark, root))
-
-
-def _chunks_of_sql(spark: SparkSession, root: str) -> DataFrame:
-    """(chunk_id, content) of the chunks that the SQL of md_clean, heading_split, chunk_marks and code_languages takes: those without CR."""
-    return table(spark, root, "chunks").where(~F.col("content").contains("\r")).select("chunk_id", "content").distinct()
+_ONE_END = r"replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 
 
 def _chunks(spark: SparkSession, root: str) -> DataFrame:
@@ -212,25 +263,28 @@ def _chunks(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "chunks").select("chunk_id", F.regexp_replace("content", r"\r\n?", "\n").alias("content")).distinct()
 
 
-def _cleaned(rows: DataFrame) -> DataFrame:
-    return rows.select("chunk_id", T.clean_content(F.col("content")).alias("content")).distinct()
-
-
-@query(r"""with c as (select distinct chunk_id, content from chunks where not contains(content, chr(13))), l as (select chunk_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as i from c),
-h as (select *, regexp_matches(trim(line, ' '), '^#{1,6}\s+\S') as head from l), s as (select *, sum(case when head then 1 else 0 end) over (partition by chunk_id order by i) as sec from h),
-g as (select chunk_id, sec, string_agg(line, chr(10) order by i) as content from s group by all)
-select chunk_id, md5(content) as section from g where not regexp_matches(content, '^\s*$')""")
-def heading_split(spark: SparkSession, root: str) -> DataFrame:
-    return _split(_chunks_of_sql(spark, root))
+@query(rf"""with c as (select distinct chunk_id, {_ONE_END} as content from chunks)
+select distinct chunk_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(?m)Copied!$', '', 'g'), 'Copied!\s*```', '```', 'g'), '```\s*Copied!', '```', 'g'), 'Copied!(\s|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x{{0b}}\x{{85}}\x{{a0}}]+|[\s\x{{0b}}\x{{85}}\x{{a0}}]+$', '', 'g') as content from c""")
+def md_clean(spark: SparkSession, root: str) -> DataFrame:
+    return _chunks(spark, root).select("chunk_id", T.clean_content(F.col("content")).alias("content")).distinct()
 
 
-@query()
-def heading_split_all(spark: SparkSession, root: str) -> DataFrame:
-    return _split(_chunks(spark, root))
+_SECTIONS = r"""e as (select distinct chunk_id, regexp_replace(content, '\r\n|[\r\x0b\x0c\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]', chr(10), 'g') as content from chunks where content is not null),
+c as (select chunk_id, case when ends_with(content, chr(10)) then left(content, -1) else content end as content from e),
+l as (select chunk_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as i from c),
+h as (select *, trim(line, ' ' || chr(9)) as t, regexp_matches(trim(line, ' ' || chr(9)), '^#{1,6}\s+\S') as head from l),
+s as (select *, sum(case when head then 1 else 0 end) over (partition by chunk_id order by i) as sec, case when head then len(regexp_extract(t, '^(#{1,6})', 1)) end as lvl,
+  case when head then trim(regexp_replace(t, '^#{1,6}\s+', ''), ' ' || chr(9)) end as title from h),
+p as (select *, case when head then least(sec, sec + min(case when head then lvl - sec end) over (partition by chunk_id order by i)) end as pos from s),
+k as (select *, """ + ", ".join(f"last_value(case when pos = {j} then title end ignore nulls) over (partition by chunk_id order by i) as t{j}" for j in range(1, 7)) + r""",
+  last_value(pos ignore nulls) over (partition by chunk_id order by i) as depth from p),
+g as (select chunk_id, sec, coalesce(array_to_string(list_slice([""" + ", ".join(f"any_value(t{j})" for j in range(1, 7)) + r"""], 1, any_value(depth)), ' > '), '') as path, string_agg(line, chr(10) order by i) as content from k group by chunk_id, sec)"""
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    return rows.select("chunk_id", F.explode(K.heading_sections(F.col("content"))).alias("s")).select("chunk_id", F.md5("s.content").alias("section"))
+@query(f"with {_SECTIONS} " + r"select chunk_id, path, md5(content) as section from g where not regexp_matches(content, '^[\s\x{85}\x{a0}]*$')")
+def heading_split(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(ready(spark), root, "chunks").select("chunk_id", "content").distinct()
+    return K.heading_sections(rows, "chunk_id", "content").select("chunk_id", "path", F.md5("content").alias("section"))
 
 
 @query(r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents where text is not null), p as (select doc_id, unnest(range(0, greatest(1, len(w) - 20), 80)) as pos, w from w where len(w) > 0)
@@ -247,43 +301,31 @@ def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("""select distinct chunk_id, document_id, chunk_index, module, coalesce(submodule, '') as submodule, version_major, version_minor, content_type, section_path, has_code, false as has_deprecation,
- case when module < content_type then module || ',' || content_type when module = content_type then module else content_type || ',' || module end as tags from chunks where content_type is not null and module is not null""")
+ array_to_string(list_sort(list_distinct([module, content_type])), ',') as tags from chunks""")
 def chunk_metadata(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "chunks").where("content_type is not null and module is not null").distinct()
-    meta = K.chunk_metadata(rows)
+    meta = K.chunk_metadata(table(spark, root, "chunks").distinct())
     return meta.withColumn("chunk_id", F.concat_ws("-", "document_id", F.col("chunk_index").cast("string"))).distinct()
 
 
-@query(r"""select chunk_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(content, '@(\w+)(?:\([^)]*\))?', 1))), ','), '') as annotations,
- coalesce(nullif(trim(regexp_extract(content, '(?m)^\s*# (.*)$', 1), ' '), ''), '') as heading from (select distinct chunk_id, content from chunks where not contains(content, chr(13)))""")
+@query(rf"""with c as (select distinct chunk_id, {_ONE_END} as content from chunks)
+select chunk_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(content, '@(\w+)(?:\([^)]*\))?', 1))), ','), '') as annotations,
+ coalesce(nullif(trim(regexp_extract(content, '(?m)^\s*# (.*)$', 1), ' '), ''), '') as heading from c""")
 def chunk_marks(spark: SparkSession, root: str) -> DataFrame:
-    return _marks(_chunks_of_sql(spark, root))
-
-
-@query()
-def chunk_marks_all(spark: SparkSession, root: str) -> DataFrame:
-    return _marks(_chunks(spark, root))
-
-
-def _marks(rows: DataFrame) -> DataFrame:
+    rows = _chunks(spark, root)
     return rows.select("chunk_id", F.coalesce(F.array_join(T.annotations(F.col("content")), ","), F.lit("")).alias("annotations"), T.first_heading(F.col("content"), F.lit("")).alias("heading"))
 
 
-@query(r"""with b as (select distinct chunk_id, regexp_extract(content, '(?m)^(?:```|~~~)([A-Za-z]+)$', 1) as css from chunks where not contains(content, chr(13)))
-select chunk_id, css, case when regexp_matches(css, '(?i)java') then 'java' when regexp_matches(css, '(?i)kotlin|kt') then 'kotlin' when regexp_matches(css, '(?i)groovy') then 'groovy' when regexp_matches(css, '(?i)xml') then 'xml' when regexp_matches(css, '(?i)ya?ml') then 'yaml'
- when regexp_matches(css, '(?i)properties|props') then 'properties' when regexp_matches(css, '(?i)json') then 'json' when regexp_matches(css, '(?i)sh|bash|shell|zsh') then 'shell' when regexp_matches(css, '(?i)sql') then 'sql' else 'java' end as language from b where css <> ''""")
-def code_languages(spark: SparkSession, root: str) -> DataFrame:
-    return _languages(_chunks_of_sql(spark, root))
-
+_LANGUAGE = r"""case when regexp_matches(css, '(?i)java') then 'java' when regexp_matches(css, '(?i)kotlin|kt') then 'kotlin' when regexp_matches(css, '(?i)groovy') then 'groovy' when regexp_matches(css, '(?i)xml') then 'xml' when regexp_matches(css, '(?i)ya?ml') then 'yaml'
+ when regexp_matches(css, '(?i)properties|props') then 'properties' when regexp_matches(css, '(?i)json') then 'json' when regexp_matches(css, '(?i)sh|bash|shell|zsh') then 'shell' when regexp_matches(css, '(?i)sql') then 'sql' else 'java' end"""
 
-@query()
-def code_languages_all(spark: SparkSession, root: str) -> DataFrame:
-    return _languages(_chunks(spark, root))
 
-
-def _languages(rows: DataFrame) -> DataFrame:
-    css = F.regexp_extract("content", r"(?m)^(?:```|~~~)([A-Za-z]+)$", 1)
-    rows = rows.select("chunk_id", css.alias("css")).where("css <> ''").distinct()
+@query(rf"""with c as (select distinct chunk_id, {_ONE_END} as content from chunks where content is not null),
+b as (select distinct chunk_id, unnest(regexp_extract_all(content, '(?m)^(?:```|~~~)([A-Za-z]+)$', 1)) as css from c)
+select chunk_id, css, {_LANGUAGE} as language from b""")
+def code_languages(spark: SparkSession, root: str) -> DataFrame:
+    """Every fence of every chunk that names a language."""
+    css = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^(?:```|~~~)([A-Za-z]+)$"), F.lit(1)))
+    rows = _chunks(spark, root).select("chunk_id", css.alias("css")).distinct()
     return rows.select("chunk_id", "css", T.code_language(F.col("css")).alias("language"))
 
 

@@ -68,6 +68,11 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 _made: dict[str, SparkSession] = {}
 
 
+def exists(path: str | None) -> bool:
+    """Whether a path of fresh_path() is still kept by this driver."""
+    return path in _made
+
+
 def settled(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives the loss of any executor.
 

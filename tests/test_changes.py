@@ -52,18 +52,18 @@ def test_refresh_touches_changed_partitions_only(spark, tmp_path):
     records = [(f"r{i}", day(1), day(2), f"h{i}", False, 0) for i in range(200)]
     log = [(1, f"r{i}", f"h{i}", "ok", day(3), None) for i in range(100)]
     pending = PendingTable(str(tmp_path / "p"), buckets=16)
-    assert pending.refresh(*tables(spark, records, log, RUNS)) == 16
+    assert pending.refresh(*tables(spark, records, log, RUNS)) == list(range(16))
     assert pending.read(spark).count() == 100
-    assert pending.refresh(*tables(spark, records[::-1], log, RUNS)) == 0  # the order of rows is no change
+    assert pending.refresh(*tables(spark, records[::-1], log, RUNS)) == []  # the order of rows is no change
     log.append((3, "r150", "h150", "ok", day(4), None))
-    assert pending.refresh(*tables(spark, records, log, RUNS)) == 1
+    assert len(pending.refresh(*tables(spark, records, log, RUNS))) == 1
     assert pending.read(spark).count() == 99
     # a run that turns completed changes the buckets of its documents
     log.append((2, "r151", "h151", "ok", day(4), None))
     pending.refresh(*tables(spark, records, log, RUNS))
     assert pending.read(spark).count() == 99
     done = [(2, "completed", None) if r[0] == 2 else r for r in RUNS]
-    assert pending.refresh(*tables(spark, records, log, done)) == 1
+    assert len(pending.refresh(*tables(spark, records, log, done))) == 1
     assert pending.read(spark).count() == 98
 
 
@@ -85,7 +85,7 @@ def test_refresh_after_failure_repeats_the_work(spark, tmp_path, monkeypatch):
         calls.append(1)
         pending.refresh(*args)
     monkeypatch.undo()
-    assert pending.refresh(*args) == 4  # no fingerprint was kept, so all is done again
+    assert pending.refresh(*args) == [0, 1, 2, 3]  # no fingerprint was kept, so all is done again
     assert pending.read(spark).count() == 20
 
 

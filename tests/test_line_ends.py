@@ -18,12 +18,12 @@ def sections(text):
     return ["\n".join(x) for x in out if "".join(x).strip()]
 
 
-def test_all_line_ends(spark, tmp_path):
+def test_line_ends(spark, tmp_path):
     spark.createDataFrame(ROWS + ROWS[:2], "chunk_id string, content string").write.parquet(f"{tmp_path}/chunks.parquet")
     rows = lambda name: sorted((tuple(r) for r in Q.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
     texts = ("lf", "crlf", "cr", "mixed")
     clean = re.sub(r"\n{3,}", "\n\n", LF.replace("Copied!", ""))
-    assert rows("md_clean_all") == sorted([*((t, clean) for t in texts), ("null", None), ("empty", "")], key=str)
-    assert rows("heading_split_all") == sorted(((t, hashlib.md5(s.encode()).hexdigest()) for t in texts for s in sections(LF)), key=str)
-    assert rows("chunk_marks_all") == sorted([*((t, "Bean,Test", "Head") for t in texts), ("null", "", ""), ("empty", "", "")], key=str)
-    assert rows("code_languages_all") == sorted(((t, "kotlin", "kotlin") for t in texts), key=str)
+    assert rows("md_clean") == sorted([*((t, clean) for t in texts), ("null", None), ("empty", "")], key=str)
+    assert rows("heading_split") == sorted(((t, path, hashlib.md5(s.encode()).hexdigest()) for t in texts for path, s in zip(("Head", "Head > Next"), sections(LF))), key=str)
+    assert rows("chunk_marks") == sorted([*((t, "Bean,Test", "Head") for t in texts), ("null", "", ""), ("empty", "", "")], key=str)
+    assert rows("code_languages") == sorted(((t, "kotlin", "kotlin") for t in texts), key=str)

@@ -61,6 +61,6 @@ def test_entry(spark):
 
 
 def test_no_python_in_native_plans(spark):
-    for name in ("bm25_search", "manifest_delta", "catalog_upsert", "dense_topk", "p6_found", "heading_split"):
+    for name in ("bm25_search", "manifest_delta", "catalog_upsert", "dense_topk", "p6_found", "md_clean"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan, name
