@@ -18,6 +18,20 @@ LANGUAGES = (
 COPY_RESIDUE = (r"(?m)Copied!$", r"Copied!\s*```", r"```\s*Copied!", r"Copied!(?=\s|$)")
 
 
+# An annotation in code, its name captured.
+ANNOTATION = r"@(\w+)(?:\([^)]*\))?"
+
+# Noise of wiki pages, in the order in which it is removed.
+WIKI_NOISE = (
+    (r"(?is)<!--\s*nav\s*-->.*?<!--\s*/nav\s*-->", ""),
+    (r"(?is)##?\s+See\s+also.*?(?=\n##?|\z)", ""),
+    (r"(?i)---\s*\n.*?Back\s+to\s+top.*?\n", ""),
+    (r"(?m)^\[\[.*?\]\]\s*$", ""),
+    (r"(?i)\[Edit this page\].*?\n", ""),
+    (r"\n{3,}", "\n\n"),
+)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words of a text, in order, repeats included."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
@@ -115,7 +129,7 @@ def code_language(css_class: Column, default: str = "java") -> Column:
 
 def annotations(code: Column) -> Column:
     """Distinct names after an at sign, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(code, F.lit(r"@(\w+)(?:\([^)]*\))?"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(code, F.lit(ANNOTATION), F.lit(1))))
 
 
 def clean_content(markdown: Column) -> Column:
@@ -132,14 +146,7 @@ def strip(text: Column) -> Column:
 
 def clean_wiki_noise(markdown: Column) -> Column:
     """Wiki pages without navigation comments, see-also sections, back-to-top rules, lone link lines and edit links."""
-    for pattern, keep in (
-        (r"(?is)<!--\s*nav\s*-->.*?<!--\s*/nav\s*-->", ""),
-        (r"(?is)##?\s+See\s+also.*?(?=\n##?|\z)", ""),
-        (r"(?i)---\s*\n.*?Back\s+to\s+top.*?\n", ""),
-        (r"(?m)^\[\[.*?\]\]\s*$", ""),
-        (r"(?i)\[Edit this page\].*?\n", ""),
-        (r"\n{3,}", "\n\n"),
-    ):
+    for pattern, keep in WIKI_NOISE:
         markdown = F.regexp_replace(markdown, pattern, keep)
     return strip(markdown)
 
@@ -157,3 +164,41 @@ def first_heading(markdown: Column, file_name: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+
+
+def document_stats(text: Column) -> Column:
+    """struct(words, sections, code_examples): words between white space, ATX headings and fenced blocks of a text."""
+    count = lambda pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    fences = count(r"(?m)^[ \t]*```")
+    return F.struct(word_count(text).alias("words"), count(r"(?m)^#{1,6}[ \t]+\S").alias("sections"), F.floor(fences / 2).cast("int").alias("code_examples"))
+
+
+def has_deprecations(marks: Column) -> Column:
+    """Whether annotations or notes (an array) name a deprecation; null and empty arrays do not."""
+    return F.coalesce(F.exists(marks, lambda m: F.lower(m).contains("deprecated")), F.lit(False))
+
+
+def matched_name(value: Column, names: list[str]) -> Column:
+    """The name a value means, letter case, blanks, dashes and underscores aside; null for none of them."""
+    form = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[\s_-]+", "-")
+    found = F.lit(None).cast("string")
+    for n in reversed(names):
+        found = F.when(form(value) == form(F.lit(n)), n).otherwise(found)
+    return found
+
+
+def query_parts(line: Column) -> Column:
+    """struct(query, module, version, submodule): a search line without its `key=value` words, and the last value of each.
+
+    A version that is no number is dropped.
+    """
+    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    is_filter = lambda w: w.rlike("^(module|version|submodule)=")
+    value = lambda k: F.try_element_at(F.transform(F.filter(words, lambda w: w.startswith(f"{k}=")), lambda w: F.substr(w, F.lit(len(k) + 2))), F.lit(-1))
+    number = F.try_element_at(F.filter(F.transform(F.filter(words, lambda w: w.startswith("version=")), lambda w: F.substr(w, F.lit(9))), lambda v: v.rlike(r"^\d+$")), F.lit(-1))
+    return F.struct(F.array_join(F.filter(words, lambda w: ~is_filter(w)), " ").alias("query"), value("module").alias("module"), number.alias("version"), value("submodule").alias("submodule"))
+
+
+def wiki_version(name: Column) -> Column:
+    """The version in a wiki file's name; null without one."""
+    return F.nullif(F.regexp_extract(name, r"(\d+\.\d+(?:\.\d+)?)", 1), F.lit(""))

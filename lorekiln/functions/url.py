@@ -83,3 +83,37 @@ def relative_path(key: Column, prefixes: list[str]) -> Column:
     for p in reversed(prefixes):
         out = F.when(key.startswith(p), F.substr(key, F.lit(len(p) + 1))).otherwise(out)
     return out
+
+
+def is_http(url: Column) -> Column:
+    """Whether a source address is one of the web; null and empty ones are not."""
+    return F.coalesce(F.lower(url).startswith("http"), F.lit(False))
+
+
+def in_preview_folder(path: Column) -> Column:
+    """Whether a folder above a file is called preview, whatever the letter case."""
+    folders = F.split(F.lower(path), "/")
+    return F.array_contains(F.slice(folders, F.lit(1), F.greatest(F.lit(0), F.size(folders) - 1)), "preview")
+
+
+def hash_in_path(path: Column) -> Column:
+    """The folder of 16 hex digits in an object path, the hash of its page's address; null without one."""
+    return F.nullif(F.regexp_extract(path, r"(?:^|/)([0-9a-f]{16})/[^/]+$", 1), F.lit(""))
+
+
+def target_prefixes(module: Column, submodule: Column, version: Column) -> Column:
+    """array(current, legacy): the prefixes objects of a target may have; one where there is no submodule."""
+    sub = F.nullif(submodule, F.lit(""))
+    current = F.concat(module, F.coalesce(F.concat(F.lit("-"), sub), F.lit("")), F.lit("/"), version, F.lit("/"))
+    legacy = F.concat(module, F.lit("/"), sub, F.lit("/"), version, F.lit("/"))
+    return F.filter(F.array(current, legacy), lambda p: p.isNotNull())
+
+
+def snapshot_key(namespace: Column, kind: str, at: Column) -> Column:
+    """namespace/kind_YYYY_MM_DD.zip"""
+    return F.concat(namespace, F.lit(f"/{kind}_"), F.date_format(at, "yyyy_MM_dd"), F.lit(".zip"))
+
+
+def namespace(model: Column, tier: Column) -> Column:
+    """The folder of a model's tables: its name as a slug, and the tier."""
+    return F.concat(F.regexp_replace(F.regexp_replace(F.lower(model), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), F.lit("-"), tier)

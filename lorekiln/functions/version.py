@@ -41,3 +41,15 @@ def meets_minimum(module: Column, major: Column) -> Column:
     for name, value in MINIMUM_MAJOR.items():
         least = F.when(module == name, value).otherwise(least)
     return major >= least
+
+
+def compare_versions(module: Column, a: Column, other: Column, b: Column) -> Column:
+    """struct(order, error): -1, 0 or 1 by the numbers of two versions of one module; versions of different modules have no order."""
+    x, y = version_key(a), version_key(b)
+    order = F.when(module == other, F.when(x < y, -1).when(x > y, 1).otherwise(0))
+    return F.struct(order.alias("order"), F.when(module != other, "different modules").alias("error"))
+
+
+def is_removed(removed_in: Column, current: Column) -> Column:
+    """Whether a feature is gone by the current version; false where no removal is known."""
+    return F.coalesce(version_key(parse_version(removed_in)) <= version_key(parse_version(current)), F.lit(False))

@@ -139,3 +139,10 @@ def chunk_metadata(chunks: DataFrame) -> DataFrame:
         "document_id", "chunk_index", "module", F.coalesce("submodule", F.lit("")).alias("submodule"), "version_major", "version_minor", "content_type",
         "section_path", "has_code", F.lit(False).alias("has_deprecation"), tags.alias("tags"),
     )
+
+
+def code_places(chunks: DataFrame) -> DataFrame:
+    """document_id, code, chunk_index, uses: each fenced block of a document, trimmed, at the first chunk that holds it."""
+    blocks = F.explode(F.regexp_extract_all("content", F.lit(r"(?s)```[a-z]*\n(.*?)```"), F.lit(1)))
+    rows = chunks.select("document_id", "chunk_index", blocks.alias("b")).select("document_id", "chunk_index", F.regexp_replace("b", r"^[ \n\t]+|[ \n\t]+$", "").alias("code"))
+    return rows.where("code <> ''").groupBy("document_id", "code").agg(F.min("chunk_index").alias("chunk_index"), F.count(F.lit(1)).alias("uses"))

@@ -62,3 +62,10 @@ def delete_vectors(vectors: DataFrame, ids: DataFrame | None = None, key: str =
     if major is not None:
         hit = hit & (F.col("version_major") == major)
     return vectors.where(~F.coalesce(hit, F.lit(False)))
+
+
+def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:
+    """chunks with their vector and `error`, set for a chunk without one; joined by key, never by position. A null vector is none."""
+    own = vectors.where(F.col(column).isNotNull()).select(F.col(key).alias("__key"), column).dropDuplicates(["__key"])
+    joined = chunks.join(own, chunks[key] == F.col("__key"), "left").drop("__key")
+    return joined.withColumn("error", F.when(F.col(column).isNull(), "no vector"))

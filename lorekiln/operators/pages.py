@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lorekiln.functions.text import LANGUAGES, collapse_space, sanitize_title
 from lorekiln.functions.url import is_internal, normalize_url, resolve_url, skip_url
+from lorekiln.functions.version import parse_version, version_key
 from lorekiln.operators.dom import Node, first, parse, select
 
 # Where titles, contents, side bars, code and versions stand, in order of preference.
@@ -248,11 +250,52 @@ def page_links(pages: DataFrame, base: str | None = None, content_type: str = "r
     return links.where(~skip_url(F.col("target"), F.lit(content_type))).groupBy("source", "target").agg(F.min(F.struct("ord", "text")).alias("l")).select("source", "target", "l.text", "l.ord")
 
 
+# Where a page's core stands when neither pattern fits.
+CORE = "main, div.doc, article.doc, main.content, #content"
+
+
+@F.pandas_udf(StringType())
+def _core_by_selector(html: pd.Series) -> pd.Series:
+    """Text of the first core element, else of the body; null for a page that either pattern has settled (given as null)."""
+    out = []
+    for h in html:
+        root = parse(h) if h is not None else None
+        nodes = [*select(root, CORE)[:1], *select(root, "body")[:1]] if root is not None else []
+        out.append(next((t for n in nodes if (t := re.sub(r"\s+", " ", n.content()).strip())), None))
+    return pd.Series(out, dtype="object")
+
+
 def core_content(html: Column) -> Column:
-    """The page's main part by pattern alone, white space collapsed; null where neither pattern fits."""
+    """The page's main part, white space collapsed: a main element or a doc division by pattern alone, else by selectors, else
+    the body's text; null where there is none. Only pages that no pattern fits are parsed."""
     main = F.regexp_extract(html, r"(?is)<main\b[^>]*>(.*?)</main>", 1)
     doc = F.regexp_extract(html, r"""(?is)<div\b[^>]*class=(['"])[^'"]*\bdoc\b[^'"]*\1[^>]*>(.*?)</div>""", 2)
-    return F.nullif(collapse_space(F.coalesce(F.nullif(main, F.lit("")), doc)), F.lit(""))
+    quick = F.coalesce(F.nullif(collapse_space(main), F.lit("")), F.nullif(collapse_space(doc), F.lit("")))
+    return F.coalesce(quick, _core_by_selector(F.when(quick.isNull(), html)))
+
+
+def unchanged(pages: DataFrame, stored: DataFrame) -> DataFrame:
+    """(url, hash, unchanged): whether a page's core has the hash stored for its url; false where none is stored or it has no core."""
+    now = pages.select("url", F.sha2(F.encode(core_content(F.col("html")), "UTF-8"), 256).alias("hash"))
+    joined = now.join(stored.select(F.col("url").alias("__url"), F.col("hash").alias("__hash")), F.col("url") == F.col("__url"), "left")
+    return joined.select("url", "hash", F.coalesce(F.col("hash") == F.col("__hash"), F.lit(False)).alias("unchanged"))
+
+
+def reconciled_version(label: Column, target: Column, content_type: Column) -> Column:
+    """struct(version, error) of a page by its version label and the version it was fetched for.
+
+    A label has to parse and to equal the target's numbers; without a label API and reference pages take the target, other
+    pages are in error, as are API pages without a target.
+    """
+    found, wanted = parse_version(label), parse_version(target)
+    takes = content_type.isin("api-doc", "reference") & target.isNotNull()
+    error = (
+        F.when((content_type == "api-doc") & target.isNull(), "no target version")
+        .when(label.isNull() & ~F.coalesce(takes, F.lit(False)), "no version")
+        .when(label.isNotNull() & found.isNull(), "unreadable version")
+        .when(label.isNotNull() & target.isNotNull() & (version_key(found) != version_key(wanted)), "version mismatch")
+    )
+    return F.struct(F.when(error.isNull(), F.coalesce(label, target)).alias("version"), error.alias("error"))
 
 
 def sufficient(html: Column) -> Column:

@@ -109,6 +109,13 @@ def unknown_module(chunks: DataFrame, module: str) -> bool:
     return not chunks.isEmpty() and chunks.where(F.col("module") == module).isEmpty()
 
 
+def unknown_modules(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(module, unknown) of the modules asked for: none is unknown as long as no module is indexed at all."""
+    known = chunks.where("module is not null").select("module").distinct().withColumn("__known", F.lit(True))
+    some = known.agg(F.count(F.lit(1)) > 0).scalar()
+    return asked.join(known, "module", "left").select("module", (F.col("__known").isNull() & some).alias("unknown"))
+
+
 def format_text(most: int = 500):
     """A result as plain text: place, title, score, address and the content, cut after `most` characters."""
     content = F.when(F.length("content") > most, F.concat(F.substring("content", 1, most), F.lit("..."))).otherwise(F.col("content"))

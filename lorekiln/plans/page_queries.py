@@ -70,20 +70,17 @@ def page_links(spark: SparkSession, root: str) -> DataFrame:
     return pages.page_links(html_pages(ready(spark), root))
 
 
-@query()
-def core_hashes(spark: SparkSession, root: str) -> DataFrame:
-    return html_pages(spark, root).select("url", F.sha2(pages.core_content(F.col("html")), 256).alias("hash"))
-
-
-_EDGES = "edges as (select distinct source, target from (select o_custkey as source, (o_orderkey * 7) % 1500 + 1 as target from orders) where source <> target)"
+_EDGES = "edges as (select distinct source, target from (select o_custkey as source, (o_orderkey * 7) % (select max(o_custkey) from orders) + 1 as target from orders) where source <> target)"
 
 
-@query(f"""with recursive {_EDGES}, walk(url, depth) as (select 1::bigint, 0 union select e.target, w.depth + 1 from walk w join edges e on e.source = w.url where w.depth < 3)
+@query(f"""with recursive {_EDGES}, walk(url, depth) as (select 1::bigint, 0 union select e.target, w.depth + 1 from walk w join edges e on e.source = w.url where w.depth < 10)
 select url, min(depth) as depth from walk group by url""")
 def bfs_depth(spark: SparkSession, root: str) -> DataFrame:
-    edges = table(spark, root, "orders").select(F.col("o_custkey").alias("source"), ((F.col("o_orderkey") * 7) % 1500 + 1).alias("target"))
+    orders = table(spark, root, "orders")
+    nodes = orders.agg(F.max("o_custkey")).scalar()
+    edges = orders.select(F.col("o_custkey").alias("source"), ((F.col("o_orderkey") * 7) % nodes + 1).alias("target"))
     entry = spark.range(1, 2).select(F.col("id").alias("url"))
-    return discovery.discover(edges, entry, 3).select("url", "depth")
+    return discovery.discover(edges, entry).select("url", "depth")
 
 
 @query("""with f as (select url from documents where url is not null), n as (select count(distinct url) as d from f)

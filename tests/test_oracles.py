@@ -9,10 +9,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from lorekiln.plans import catalog_queries, change_queries, page_queries, search_queries
+from lorekiln.plans import catalog_queries, change_queries, page_queries, parity_queries, search_queries
 
 DATA = "/root/testdata/sf0.001"
-MODULES = (change_queries, catalog_queries, search_queries, page_queries)
+MODULES = (change_queries, catalog_queries, search_queries, page_queries, parity_queries)
 QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in m.SQL.items()}
 

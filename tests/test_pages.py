@@ -72,7 +72,7 @@ def test_signature(spark):
     assert (s["package"], s["name"], s["kind"], s["extends"], s["implements"]) == ("org.sample.client", "RestThing", "class", "Accessor", ["Ops", "Map<K, V>"])
     (m,) = s["methods"]
     assert m["name"] == "exchange" and m["return_type"] == "Entity<T>" and [(p["name"], p["type"], p["description"]) for p in m["parameters"]] == [("url", "String", "the address"), ("args", "Map<String, ?>", "values")]
-    assert m["annotations"] == ["Nullable"] and m["throws"] == ["Bad", "Worse"] and m["return_description"] == "the entity"
+    assert m["annotations"] == ["@Nullable"] and m["throws"] == ["Bad", "Worse"] and m["return_description"] == "the entity"
     assert "Entity<T> exchange(String url, Map<String, ?> args)" in apidoc.signature_markdown(s)
     got = apidoc.page_signatures(spark.createDataFrame([("u", API), ("v", "<p>"), ("w", None)], "url string, html string")).collect()
     assert len(got) == 1 and got[0].signature.methods[0].parameters[1].type == "Map<String, ?>"
