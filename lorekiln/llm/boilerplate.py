@@ -32,11 +32,12 @@ SENTENCE_WORDS = 5
 BROADCAST_ROWS = 200_000
 
 _BULLET = re.compile(r"^(?:[•·▪‣◦»›*+\-–—]\s+)+")
-_CAMEL = re.compile(r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b")
+# these begin with the character they look for, which lets the search skip to it
+_CAMEL = re.compile(r"[A-Z](?<!\w[A-Z])[a-z0-9]+(?:[A-Z][a-z0-9]*)+\b")
 _DIGITS = re.compile(r"\d+")
-_SEPARATOR = re.compile(r"\s+([·|»›>/—–])\s+")
+_SEPARATOR = re.compile(r"[·|»›>/—–](?<=\s.)(?=\s)")
 _COLON = re.compile(r"^([^:.!?]+?)\s?:\s+\S")
-_SENTENCE = re.compile(r"^(.+?[.!?…])\s+\S")
+_SENTENCE = re.compile(r"[.!?…](?=\s+\S)")
 
 
 def _masked(text: str) -> str:
@@ -44,33 +45,45 @@ def _masked(text: str) -> str:
     return _DIGITS.sub("#", _CAMEL.sub("~", text).lower())
 
 
+def line_facts(line: str) -> tuple[str, str, list[str]]:
+    """(form, title, parts) of a stripped line: all masked, without bullet.
+
+    The form is the whole line, or of a line of several parts the first one: the start of a path or menu with its separator,
+    the label before a colon, the first sentence. The title is the whole line as a title is masked. The parts are those that
+    separators divide, as of a menu or path; none of another line.
+    """
+    text = _BULLET.sub("", line)
+    separator = _SEPARATOR.search(text)
+    sentence = _SENTENCE.search(text, 1)
+    title = _masked(text)
+    if sentence and not (separator and separator.start() < sentence.end()):
+        form = _masked(text[: sentence.end()])
+    elif separator:
+        form = _masked(text[: separator.start()].rstrip() + " " + separator.group(0))
+    elif ":" in text and (colon := _COLON.match(text)):
+        form = _masked(colon.group(1) + ":")
+    else:
+        form = title
+    return form, title, [_masked(_BULLET.sub("", p.strip())) for p in _SEPARATOR.split(text)] if separator else []
+
+
 def title_form(text: str) -> str:
-    """A line or title in lower case, class names and numbers masked, without bullet."""
+    """A title in lower case, class names and numbers masked, without bullet."""
     return _masked(_BULLET.sub("", text.strip()))
 
 
 def line_form(line: str, brand: str) -> str:
-    """What a line has in common with its counterparts on other pages.
+    """What a line has in common with its counterparts on other pages: its form, the site's name masked as well."""
+    return _branded(line_facts(line.strip())[0], brand)
 
-    The masked line, or of a line of several parts the first one: the start of a path or menu with its separator, the label
-    before a colon, the first sentence. The site's name is masked as well.
-    """
-    text = _BULLET.sub("", line.strip())
-    sentence, separator = _SENTENCE.match(text), _SEPARATOR.search(text)
-    if sentence and not (separator and separator.start() < sentence.end(1)):
-        text = sentence.group(1)
-    elif separator:
-        text = text[: separator.start()] + " " + separator.group(1)
-    elif colon := _COLON.match(text):
-        text = colon.group(1) + ":"
-    form = _masked(text)
+
+def _branded(form: str, brand: str) -> str:
     return form.replace(brand, "*") if len(brand) >= 3 else form
 
 
 def line_parts(line: str) -> list[str]:
-    """The masked parts of a line that separators divide, as of a menu or path; none for another line."""
-    parts = _SEPARATOR.split(_BULLET.sub("", line.strip()))[::2]
-    return [title_form(p) for p in parts] if len(parts) > 1 else []
+    """The masked parts of a line that separators divide; none for another line."""
+    return line_facts(line.strip())[2]
 
 
 def site_name(host: str) -> str:
@@ -123,18 +136,19 @@ def page_forms(sections: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
+        known: dict[str, tuple] = {}
         titles: dict[str, int | None] = {}
 
         def facts(line: str, brand: str) -> tuple:
-            got = known.get((line, brand))
+            got = known.get(line)
             if got is None:
-                form = line_form(line, brand)
-                got = hashed(form), hashed(title_form(line)), len(form.split()) >= SENTENCE_WORDS, [hashed(p) for p in line_parts(line)]
+                form, whole, parts = line_facts(line)
+                got = form, hashed(form), hashed(whole), len(form.split()) >= SENTENCE_WORDS, [hashed(p) for p in parts]
                 if len(known) > 100_000:  # a cache only
                     known.clear()
-                known[line, brand] = got
-            return got
+                known[line] = got
+            form = got[0]
+            return (hashed(_branded(form, brand)) if len(brand) >= 3 and brand in form else got[1], *got[2:])
 
         def title(text: str) -> int | None:
             """Null for a title of one word, which is no list item to be told from other lines."""
