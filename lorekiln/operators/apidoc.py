@@ -31,7 +31,7 @@ MEMBER = ".member-signature, .memberSignature, pre"
 DEPRECATED = ".deprecated-label, .deprecatedLabel, .deprecation-block, .deprecated"
 MODIFIERS = frozenset("public protected private abstract static final sealed non-sealed default synchronized native strictfp transient volatile".split())
 
-_MARK = re.compile(r"@(?!interface\b)\w+(?:\([^)]*\))?")
+_MARK = re.compile(r"""@(?!interface\b)\w+(?:\((?:"[^"]*"|[^")])*\))?""")
 _NAME = r"[A-Za-z_][\w.]*"
 
 
@@ -112,7 +112,7 @@ def _method(block: Node) -> dict | None:
     sign = next(iter(select(block, MEMBER)), None)
     text = _flat(sign).rstrip(";")
     # annotations may have brackets of their own, so the list of parameters is looked for behind them
-    plain = _MARK.sub(lambda m: "\x00" * len(m[0]) if m.end() <= len(text) else m[0], text)
+    plain = _MARK.sub(lambda m: "\x00" * len(m[0]), text)
     begin, end = plain.find("("), plain.rfind(")")
     if begin < 0 or end < begin:
         return None

@@ -260,14 +260,14 @@ def _core_by_selector(html: pd.Series) -> pd.Series:
     out = []
     for h in html:
         root = parse(h) if h is not None else None
-        nodes = [*select(root, CORE)[:1], *select(root, "body")[:1]] if root is not None else []
+        nodes = [*select(root, CORE)[:1], first(root, ["body"]) or root] if root is not None else []
         out.append(next((t for n in nodes if (t := re.sub(r"\s+", " ", n.content()).strip())), None))
     return pd.Series(out, dtype="object")
 
 
 def core_content(html: Column) -> Column:
     """The page's main part, white space collapsed: a main element or a doc division by pattern alone, else by selectors, else
-    the body's text; null where there is none. Only pages that no pattern fits are parsed."""
+    the text of the body or, without one, of all; null where there is none. Only pages that no pattern fits are parsed."""
     main = F.regexp_extract(html, r"(?is)<main\b[^>]*>(.*?)</main>", 1)
     doc = F.regexp_extract(html, r"""(?is)<div\b[^>]*class=(['"])[^'"]*\bdoc\b[^'"]*\1[^>]*>(.*?)</div>""", 2)
     quick = F.coalesce(F.nullif(collapse_space(main), F.lit("")), F.nullif(collapse_space(doc), F.lit("")))

@@ -65,7 +65,12 @@ def parsed_pages(spark: SparkSession, root: str) -> DataFrame:
     return pages.parse_pages(html_pages(ready(spark), root))
 
 
-@query()
+@query(r"""with s as (select page_id, section_ord, max(url) as url, arg_max(coalesce(title, ''), (coalesce(url, ''), coalesce(section_id, ''), coalesce(title, ''))) as title from page_sections group by page_id, section_ord),
+u as (select page_id, regexp_replace(max(url), '[?#].*$', '') as url from s group by page_id),
+l as (select u.url || '#p' || u.page_id as source, regexp_replace(case when regexp_matches(u.url, '^https?://[^/]*$') then u.url || '/' else u.url end, '[^/]*$', '') || 'section-' || section_ord || '.html' as target,
+  trim(regexp_replace(title, '\s+', ' ', 'g')) as text, section_ord, s.page_id from s join u using (page_id) where u.url is not null and trim(title) <> ''),
+n as (select *, row_number() over (partition by page_id order by section_ord) - 1 as ord from l)
+select source, target, text, cast(ord as int) as ord from n where not regexp_matches(target, 'github\.com|stackoverflow\.com|mailto:') and not regexp_matches(target, '/api/|/javadoc/|/javadoc-api/')""")
 def page_links(spark: SparkSession, root: str) -> DataFrame:
     return pages.page_links(html_pages(ready(spark), root))
 

@@ -235,7 +235,9 @@ def result_render(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("place", R.render_item().alias("item"), R.score_breakdown().alias("breakdown"))
 
 
-@query()
+@query(f"""with {_HYBRID}, top as (select *, row_number() over ({_ORDER}) as place from dedup {_ORDER} limit 3)
+select trim('## Search Results' || chr(10) || chr(10) || '**Query:** {ASKED}' || chr(10) || chr(10) || string_agg('### ' || place || '. ' || title || chr(10) || '- **URL:** ' || url || chr(10) || '- **Module:** ' || module || chr(10) || '- **Version:** v1.0' || chr(10)
+  || '- **Score:** ' || printf('%.4f', score) || chr(10) || '- **Section:** ' || chr(10) || chr(10) || trim(content, ' ') || chr(10), chr(10) order by place), ' ') as prompt from top""")
 def prompt_context(spark: SparkSession, root: str) -> DataFrame:
     rows = _found(spark, root, 3).withColumns({"submodule": F.lit(""), "section_path": F.lit(""), "version_major": F.lit(1), "version_minor": F.lit(0)})
     return R.prompt(rows, ASKED)

@@ -64,7 +64,7 @@ def test_page(spark):
 def test_core_content(spark):
     assert one(spark, pages.core_content(F.col("h")), h="<main id=a> x\n <b>y</b></main>") == "x <b>y</b>"
     assert one(spark, pages.core_content(F.col("h")), h="<div class='a doc b'>z </div>") == "z"
-    assert one(spark, pages.core_content(F.col("h")), h="<p>q") is None
+    assert one(spark, pages.core_content(F.col("h")), h="<p>q") == "q"
 
 
 def test_signature(spark):
