@@ -52,4 +52,5 @@ def compare_versions(module: Column, a: Column, other: Column, b: Column) -> Col
 
 def is_removed(removed_in: Column, current: Column) -> Column:
     """Whether a feature is gone by the current version; false where no removal is known."""
-    return F.coalesce(version_key(parse_version(removed_in)) <= version_key(parse_version(current)), F.lit(False))
+    gone, now = parse_version(removed_in), parse_version(current)
+    return F.coalesce(gone.isNotNull() & now.isNotNull() & (version_key(gone) <= version_key(now)), F.lit(False))
