@@ -66,7 +66,7 @@ def ingest(spark: SparkSession, folder: str) -> DataFrame:
     each type, cleaned and tagged. A page that cannot be used has an error instead of a text; the others are not touched by it."""
     from lorekiln.functions import text as T
 
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     named = files.select(F.regexp_replace(F.input_file_name(), r"^file:/+", "/").alias("path"), "value")
     name = F.element_at(F.split("path", "/"), -1)
     rows = named.select("path", "value", T.wiki_content_type(name).alias("content_type"), T.wiki_version(name).alias("version"), T.first_heading(F.col("value"), name).alias("title"))

@@ -33,9 +33,9 @@ def read_pages(spark: SparkSession, root: str) -> DataFrame:
     """(path, markdown, metadata struct) of a folder of markdown files, each with the metadata.json beside it, if readable."""
     base = root.rstrip("/")
     rel = F.regexp_replace(F.regexp_replace(F.input_file_name(), r"^file:/+", "/"), F.lit("^" + base + "/"), F.lit(""))
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    texts = files.option("pathGlobFilter", "*.md").text(base).select(rel.alias("path"), F.col("value").alias("markdown"))
-    metas = files.option("pathGlobFilter", "*.json").text(base).select(rel.alias("meta"), F.col("value").alias("json")).where(is_metadata_path(F.col("meta")))
+    files = spark.read.option("recursiveFileLookup", True)
+    texts = files.option("pathGlobFilter", "*.md").text(base, wholetext=True).select(rel.alias("path"), F.col("value").alias("markdown"))
+    metas = files.option("pathGlobFilter", "*.json").text(base, wholetext=True).select(rel.alias("meta"), F.col("value").alias("json")).where(is_metadata_path(F.col("meta")))
     folder = lambda c: F.regexp_replace(c, r"[^/]*$", "")
     # the newer layout keeps metadata beside the page, the older one in a folder of its own by the page's name
     near = metas.select(F.when(F.col("meta").rlike(r"(^|/)metadata\.json$"), F.concat(folder(F.col("meta")), F.lit("document.md"))).otherwise(

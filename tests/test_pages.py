@@ -226,11 +226,13 @@ def test_sources(spark, tmp_path):
     assert {(j.module, j.lane) for j in jobs} == {("boot", "reference"), ("boot", "api"), ("boot", "wiki"), ("data", "reference")} and [j.pages for j in jobs if j.lane == "wiki"] == [["A", "B"]]
     d = tmp_path / "docs" / "boot"
     (d / "metadata").mkdir(parents=True)
-    (d / "document.md").write_text("# A")
-    (d / "metadata.json").write_text(json.dumps({"title": "T"}))
+    (d / "document.md").write_text("# A\n\ntext")
+    (d / "metadata.json").write_text(json.dumps({"title": "T"}, indent=1))
     (d / "old.md").write_text("# B")
     (d / "metadata" / "old.json").write_text("{broken")
-    got = {r.path: r.metadata for r in registry.read_pages(spark, str(tmp_path / "docs")).collect()}
+    read = registry.read_pages(spark, str(tmp_path / "docs")).collect()
+    assert {r.path: r.markdown for r in read} == {"boot/document.md": "# A\n\ntext", "boot/old.md": "# B"}
+    got = {r.path: r.metadata for r in read}
     assert set(got) == {"boot/document.md", "boot/old.md"} and got["boot/document.md"].title == "T" and (got["boot/old.md"] is None or got["boot/old.md"].title is None)
     assert {r.key for r in registry.list_objects(spark, str(tmp_path / "docs")).collect()} >= {"boot/document.md", "boot/metadata.json"}
 
