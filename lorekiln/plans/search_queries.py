@@ -331,9 +331,24 @@ def code_languages(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("chunk_id", "css", T.code_language(F.col("css")).alias("language"))
 
 
-@query()
+_STRIP = r"regexp_replace({0}, '^[\s\x0b\x{{85}}\x{{a0}}]+|[\s\x0b\x{{85}}\x{{a0}}]+$', '', 'g')"
+_NOISE = "text"
+for _pattern, _keep in ((r"(?is)<!--\s*nav\s*-->.*?<!--\s*/nav\s*-->", ""), (r"(?is)##?\s+See\s+also.*?(\n##?|\z)", r"\1"), (r"(?i)---\s*\n.*?Back\s+to\s+top.*?\n", ""), (r"(?m)^\[\[.*?\]\]\s*$", ""), (r"(?i)\[Edit this page\].*?\n", "")):
+    _NOISE = f"regexp_replace({_NOISE}, '{_pattern}', '{_keep}', 'g')"
+_NOISE = _STRIP.format(f"regexp_replace({_NOISE}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@query(rf"""with d as (select doc_id, replace(content_type, '-', '_') as tag, regexp_replace(text, '\r\n?|[\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g') as text from documents where text is not null),
+c as (select doc_id, tag, {_NOISE} as md from d),
+p as (select doc_id, unnest(string_split(regexp_replace(md, '(?m)^(##\s+.*)$', chr(1) || '\1', 'g'), chr(1))) as p, generate_subscripts(string_split(regexp_replace(md, '(?m)^(##\s+.*)$', chr(1) || '\1', 'g'), chr(1)), 1) as i from c),
+h as (select doc_id, i, p, regexp_matches(p, '\A##\s+.*') as is_head, regexp_extract(p, '\A(##\s+[^\n]*)', 1) as head, trim(regexp_replace(regexp_replace(p, '\A##\s+[^\n]*', ''), '^[\s\x0b]+|[\s\x0b]+$', '', 'g'), ' ') as body from p),
+x as (select doc_id, i, is_head, case when is_head then '  <section name="' || regexp_replace(replace(lower(trim(replace(head, '##', ''), ' ')), ' ', '_'), '[()]', '', 'g') || '" title="' || trim(replace(head, '##', ''), ' ') || '">' || chr(10) || '    ' || head || chr(10) || '    ' || body || chr(10) || '  </section>'
+  else regexp_replace(p, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') end as piece from h),
+j as (select doc_id, bool_or(is_head) as headed, coalesce(string_agg(piece, chr(10) order by i) filter (piece <> ''), '') as pieces from x group by doc_id)
+select doc_id, '<' || tag || ' version="1.0.0">' || chr(10) || case when headed then pieces else md end || chr(10) || '</' || tag || '>' as tagged from c join j using (doc_id)""")
 def wiki_tagged(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "documents").where("text is not null")
+    """All documents as wiki pages, every line end a line feed."""
+    rows = table(spark, root, "documents").where("text is not null").select("doc_id", "content_type", F.regexp_replace("text", r"\r\n?|[\x{85}\x{2028}\x{2029}]", "\n").alias("text"))
     return rows.select("doc_id", W.tag_sections(T.clean_wiki_noise(F.col("text")), F.col("content_type"), F.lit("1.0.0")).alias("tagged"))
 
 
