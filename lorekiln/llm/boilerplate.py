@@ -208,26 +208,31 @@ def compared_pages(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     others = settled(marked.join(F.broadcast(groups) if small else groups, names).where("p <> page").select("page_id", "p", "other"), "others")
     gone = others.select(F.col("p").alias("page"))
     once = forms.join(F.broadcast(gone) if others.count() <= BROADCAST_ROWS else gone, "page", "left_anti")
-    return shared_with_nearest(once, ["site", "path", "query", "same", "page"], "compared"), others.select("page_id", "other")
+    compared = shared_with_nearest(once, ["site", "path", "query", "same", "page"], "compared")
+    discard(forms, groups)
+    return compared, others.select("page_id", "other")
 
 
 def marked_lines(pages: DataFrame, titles: DataFrame) -> DataFrame:
-    """The lines of the pages, one row each, with what their page says about them; written down. Titles are those of the site.
+    """The lines of the pages, one row each, with what their page says about them; written down.
 
-    `heads`: a title line follows and none precedes. `outside`: before the first or after the last sentence of the page, an
-    unshared line of SENTENCE_WORDS words that is no title and whose form few pages have; null on a page without one, from
-    which nothing is learned. `anchor` and `run`: form and place of the last line above that is no title.
+    `titles` has the hashes of all titles, by themselves and with their site. `heads`: a title of the site follows and none
+    precedes. `outside`: before the first or after the last sentence of the page, an unshared line of SENTENCE_WORDS words
+    that is no title of the site and whose form few pages have; null on a page without one, from which nothing is learned.
+    `anchor` and `run`: form and place of the last line above that is no title at all.
     """
     zipped = F.arrays_zip("section", "line", "form", "title", "words", "shared")
     lines = pages.select("site", "page", "page_id", (F.col("neighbours") > 0).alias("learn"), F.posexplode(zipped).alias("ord", "l")).select("site", "page", "page_id", "learn", "ord", "l.*")
-    lines = lines.withColumn("title", F.xxhash64("site", "title"))
+    lines = lines.withColumn("own", F.xxhash64("site", "title")).drop("site")
     often = settled(pages.select(F.explode(F.array_distinct("form")).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES).select("form", F.lit(True).alias("often")), "often")
     known = _look_up(_look_up(lines, often, "form"), titles, "title")
-    flat = known.select("page", "page_id", "learn", "ord", "section", "line", "form", "shared", F.col("is_title").isNotNull().alias("is_title"), (F.col("words") & ~F.col("shared") & F.col("often").isNull() & F.col("is_title").isNull()).alias("sentence"))
+    known = _look_up(known, titles.withColumnsRenamed({"title": "own", "is_title": "is_own"}), "own")
+    sentence = F.col("words") & ~F.col("shared") & F.col("often").isNull() & F.col("is_own").isNull()
+    flat = known.select("page", "page_id", "learn", "ord", "section", "line", "form", "shared", F.col("is_title").isNotNull().alias("is_title"), F.col("is_own").isNotNull().alias("is_own"), sentence.alias("sentence"))
     page = Window.partitionBy("page")
     row = page.orderBy("ord")
     body = F.when(F.col("sentence"), F.col("ord"))
-    heads = F.lead("is_title", 1, False).over(row) & ~F.lag("is_title", 1, False).over(row)
+    heads = F.lead("is_own", 1, False).over(row) & ~F.lag("is_own", 1, False).over(row)
     above = F.last(F.when(~F.col("is_title"), F.struct("form", "ord")), ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, -1))
     spans = flat.withColumns({"heads": heads, "above": above, "__lo": F.min(body).over(page), "__hi": F.max(body).over(page)})
     outside = (F.col("ord") < F.col("__lo")) | (F.col("ord") > F.col("__hi"))
@@ -255,11 +260,12 @@ def boilerplate_lines(sections: DataFrame) -> DataFrame:
     """(page_id, section_ord, line_no) of the lines that are not body, lines counted from 1 with the blank ones.
 
     A line is boilerplate when its form is template, when it is a menu or path of template forms and titles, or when it is a
-    title of the site standing in a list under a form that heads lists. Blank lines never are. Null contents have no lines, pages
+    title standing in a list under a form that heads lists. Blank lines never are. Null contents have no lines, pages
     without neighbours are judged by the forms alone.
     """
     pages, others = compared_pages(sections)
-    titles = settled(pages.select("site", F.explode("titles").alias("title")).select(F.xxhash64("site", "title").alias("title")).distinct().withColumn("is_title", F.lit(True)), "titles")
+    given = pages.select("site", F.explode("titles").alias("title"))
+    titles = settled(given.select(F.explode(F.array("title", F.xxhash64("site", "title"))).alias("title")).distinct().withColumn("is_title", F.lit(True)), "titles")
     lines = marked_lines(pages, titles)
     forms = settled(template_forms(lines), "templates")
     lists = forms.where("heads_list").select(F.col("form").alias("anchor"), F.lit(True).alias("under"))
@@ -277,10 +283,10 @@ def boilerplate_lines(sections: DataFrame) -> DataFrame:
 
 def menu_lines(pages: DataFrame, forms: DataFrame, titles: DataFrame) -> DataFrame:
     """Lines of several parts of which one at least is a template form of its own, and half are such forms or titles."""
-    menus = pages.select("site", "page_id", "section", "line", F.explode("menus").alias("m")).select("site", "page_id", F.get("section", F.col("m.at")).alias("section"), F.get("line", F.col("m.at")).alias("line"), F.size("m.parts").alias("n"), "m.parts")
-    parts = menus.select("site", "page_id", "section", "line", "n", F.explode("parts").alias("form"))
+    menus = pages.select("page_id", "section", "line", F.explode("menus").alias("m")).select("page_id", F.get("section", F.col("m.at")).alias("section"), F.get("line", F.col("m.at")).alias("line"), F.size("m.parts").alias("n"), "m.parts")
+    parts = menus.select("page_id", "section", "line", "n", F.explode("parts").alias("form"))
     known = _look_up(parts, forms.where("not heads_list").select("form", F.lit(1).alias("t")), "form")
-    known = _look_up(known.withColumn("title", F.xxhash64("site", "form")), titles, "title")
+    known = _look_up(known.withColumn("title", F.col("form")), titles, "title")
     title = F.when(F.col("t").isNull() & (F.col("is_title").isNotNull() | (F.col("form") == NAME)), 1)
     counted = known.groupBy("page_id", "section", "line", "n").agg(F.count("t").alias("t"), F.count(title).alias("p"))
     return counted.where("t >= 1 and 2 * (t + p) >= n").select("page_id", "section", "line")
