@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from statistics import median
 
 import numpy as np
@@ -26,7 +27,7 @@ FREQUENT = 1 / 200
 
 FEATURES = ("sentence_words", "word_chars", "long_words", "diversity", "connectives", "clauses", "log_words", "rarity")
 
-# Words that join clauses or subordinate one to another, by language.
+#: Words that join clauses or subordinate one to another, by language.
 CONNECTIVES = frozenset(
     """because although unless whereas while since if when once before after until which that as and but or so therefore however
     thus hence insofar notwithstanding albeit whereby therein moreover consequently furthermore correspondingly conversely only
@@ -37,7 +38,7 @@ CONNECTIVES = frozenset(
     もし 次に しかし""".split()
 )
 
-# Function words by which the language of the prose is told.
+#: Function words by which the language of the prose is told.
 LANGUAGES = {
     "en": frozenset("the of to and is in a that for you with it on as this".split()),
     "de": frozenset("der die das und ist nicht ein eine den dem zu mit auf von für".split()),
@@ -45,8 +46,6 @@ LANGUAGES = {
     "es": frozenset("el la los las de que y en un una es por con del para".split()),
 }
 
-_LANGUAGES_OF = {w: [k for k, v in LANGUAGES.items() if w in v] for w in set().union(*LANGUAGES.values())}
-
 _FENCE = re.compile(r"^\s{0,3}(```|~~~)")
 _BLOCK_OPEN = re.compile(r"\\begin\{(verbatim|lstlisting|minted|equation|align|tabular)|<(pre|script|style|syntaxhighlight|source)\b", re.I)
 _BLOCK_SHUT = re.compile(r"\\end\{(verbatim|lstlisting|minted|equation|align|tabular)|</(pre|script|style|syntaxhighlight|source)>", re.I)
@@ -57,22 +56,27 @@ _QUOTED = re.compile(r"""^\s*(?:>|["“„«»‚'‘].*["”“»«’']\s*\.?\
 _INNER_QUOTE = re.compile(r"[\"“„«][^\"“”„«»]{40,}[\"”“»]")
 _QUOTE_MARK = re.compile("[\"“„«]")
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
-_NAMES = re.compile(r"`[^`]*`|\bhttps?://\S+|\b\w*[a-z0-9][A-Z]\w*|\b\w+(?:[.\-_/]\w+)*[._/]\w+\S*")
-_MAYBE_NAMES = re.compile(r"`|://|[a-z0-9][A-Z]|\w[._/]\w")
+_NAMES = re.compile(r"`[^`]*`|\b(?=\w)(?:https?://\S+|\w*[a-z0-9][A-Z]\w*|\w+(?:[.\-_/]\w+)*[._/]\w+\S*)")
+# these begin with the character they look for, which lets the search skip to it
+_HUMP = re.compile(r"[A-Z](?<=[a-z0-9].)")
+_JOINT = re.compile(r"[._/](?<=\w.)(?=\w)")
 _ENDS, _AFTER_END = frozenset(".!?…。！？:,"), " \t\u3000\"'”’»)]*_`"
 _LINES = re.compile(r"\r\n|\n|\r")
 _INDENT = re.compile(r" {4}|\t")
 _CLAUSE = re.compile("[,;—、]")
-_END = re.compile(r"(?<=[.!?…])\s+")
+_END = re.compile(r"[.!?…]\s+")
 _END_CJK = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+")
+_ASCII_WORD = re.compile(r"[a-z]+")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
 def words_of(sentence: str) -> list[str]:
     """Lower-cased words; scripts without spaces count two characters a word."""
+    if sentence.isascii():
+        return _ASCII_WORD.findall(sentence.lower())
     words = _WORD.findall(sentence.lower())
-    if sentence.isascii() or not _CJK.search(sentence):
+    if not _CJK.search(sentence):
         return words
     out = []
     for w in words:
@@ -88,6 +92,18 @@ def prose_sentences(text: str) -> list[str]:
     return [s for s, _ in _prose(text)]
 
 
+def _split(line: str) -> list[str]:
+    """Parts between the white space after sentence marks; in other scripts full stops end a sentence without any."""
+    if not line.isascii() and ("。" in line or "！" in line or "？" in line):
+        return _END_CJK.split(line)
+    out, at = [], 0
+    for m in _END.finditer(line):
+        out.append(line[at : m.start() + 1])
+        at = m.end()
+    out.append(line[at:])
+    return out
+
+
 def _prose(text: str) -> list[tuple[str, list[str]]]:
     lines: list[str] = []
     fence = block = False
@@ -113,25 +129,24 @@ def _prose(text: str) -> list[tuple[str, list[str]]]:
         lines.append(_INNER_QUOTE.sub(" ", line) if _QUOTE_MARK.search(line) else line)
     out = []
     for line in lines:
-        for s in (_END if line.isascii() else _END_CJK).split(line):
+        for s in _split(line):
             bare = s.rstrip(_AFTER_END)
             if not bare or bare[-1] not in _ENDS:
                 continue
-            plain = _NAMES.sub(" ", s) if _MAYBE_NAMES.search(s) else s
+            named = "`" in s or "://" in s or _JOINT.search(s) or _HUMP.search(s)
+            plain = _NAMES.sub(" ", s) if named else s
             words = words_of(plain)
             if len(words) >= 2:
                 out.append((plain, words))
     return out
 
 
-def language_of(words: list[str]) -> str:
+def language_of(words: list[str] | Counter) -> str:
     """The language with most of its function words among `words`; `other` when fewer than one word in twenty is one."""
-    hits = dict.fromkeys(LANGUAGES, 0)
-    for w in words:
-        for k in _LANGUAGES_OF.get(w, ()):
-            hits[k] += 1
+    counts = words if isinstance(words, Counter) else Counter(words)
+    hits = {k: sum(counts[w] for w in v) for k, v in LANGUAGES.items()}
     best = max(hits, key=lambda k: (hits[k], k))
-    return best if hits[best] * 20 > len(words) else "other"
+    return best if hits[best] * 20 > counts.total() else "other"
 
 
 def moving_diversity(words: list[str], window: int = 40) -> float:
@@ -139,20 +154,18 @@ def moving_diversity(words: list[str], window: int = 40) -> float:
     n = len(words)
     if n <= window:
         return len(set(words)) / math.sqrt(n)
-    kinds = total = 0
-    inside: dict[str, int] = {}
+    last: dict[str, int] = {}
+    total, final = 0, n - window
     for i, w in enumerate(words):
-        k = inside.get(w, 0)
-        kinds += not k
-        inside[w] = k + 1
-        if i >= window:
-            gone = words[i - window]
-            k = inside[gone] - 1
-            inside[gone] = k
-            kinds -= not k
-        if i >= window - 1:
-            total += kinds
-    return total / (n - window + 1) / math.sqrt(window)
+        # the windows in which this is the first of its kind begin after the one before it
+        begin = last.get(w, -1) + 1
+        last[w] = i
+        if begin <= i - window:
+            begin = i - window + 1
+        end = i if i < final else final
+        if end >= begin:
+            total += end - begin + 1
+    return total / (final + 1) / math.sqrt(window)
 
 
 def sentence_features(text: str | None) -> tuple[str, list[float], list[str]] | None:
@@ -171,7 +184,8 @@ def sentence_features(text: str | None) -> tuple[str, list[float], list[str]] |
     diversity = moving_diversity(words)
     mid = [median(c) for c in zip(*per)]
     values = [mid[0], mid[1], mid[2], diversity, mid[3], mid[4], math.log(1 + len(words))]
-    return language_of(words), values, list(dict.fromkeys(words))
+    counts = Counter(words)
+    return language_of(counts), values, list(counts)
 
 
 def prose_features(documents: DataFrame) -> DataFrame:
