@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekiln.session import settled
+from lorekiln.session import discard, settled
 
 
 def discover(edges: DataFrame, entry: DataFrame, max_depth: int = 10, max_links: int | None = None) -> DataFrame:
     """(url, depth) of the pages reachable from the entry pages over edges (source, target), each at its least depth.
 
-    One join and one anti join a level; each level is written to the shared folder, which keeps plans short and survives the
+    The links are written once. One join and one anti join a level; each level is written to the shared folder, which keeps plans short and survives the
     loss of executors. Cycles end as visited pages are left out. With max_links only so many are kept, by depth and url.
     """
-    links = edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct()
+    links = settled(edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct(), "links")
     level = settled(entry.select("url", F.lit(0).alias("depth")).distinct(), "level")
     seen = level
     for depth in range(1, max_depth + 1):
@@ -23,6 +23,7 @@ def discover(edges: DataFrame, entry: DataFrame, max_depth: int = 10, max_links:
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+    discard(links)
     return seen if max_links is None else seen.orderBy("depth", "url").limit(max_links)
 
 

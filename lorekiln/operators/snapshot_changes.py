@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lorekiln.operators.ranks import rank_in_buckets
 
-#: Of a manifest document only what the change feed needs; a document that is no JSON lands in `_bad`.
-MANIFEST = "struct<generated_at string, files array<struct<path string, content_hash string, size_bytes bigint>>, _bad string>"
+#: Of a manifest document only what the change feed needs, values as text whatever their JSON type; a document that is no JSON lands in `_bad`.
+MANIFEST = "struct<generated_at string, files array<struct<path string, content_hash string, size_bytes string>>, _bad string>"
 TARGET = ("module", "submodule", "version")
 
 
@@ -16,7 +16,8 @@ def read_snapshots(manifests: DataFrame) -> DataFrame:
     """The readable deliveries: target columns, key, manifest_hash, generated_at, files.
 
     A delivery is unreadable when its JSON does not parse, has no files list or no valid generated_at, or when it has no
-    manifest_hash; such rows are passed over, so a snapshot survives as long as one of its deliveries is readable. Null
+    manifest_hash; such rows are passed over, so a snapshot survives as long as one of its deliveries is readable. A size that
+    is no number is null. Null
     targets are targets of their own. Extra columns are ignored.
     """
     doc = F.from_json("manifest_json", MANIFEST, {"columnNameOfCorruptRecord": "_bad"})
@@ -48,7 +49,7 @@ def intervals(deliveries: DataFrame, numbered: DataFrame) -> DataFrame:
     """
     keys = [*TARGET, "path"]
     listed = deliveries.select(*TARGET, "key", F.explode("files").alias("f")).select(
-        *TARGET, "key", F.col("f.path").alias("path"), F.coalesce(F.lower("f.content_hash"), F.lit("")).alias("h"), F.col("f.size_bytes").alias("size_bytes")
+        *TARGET, "key", F.col("f.path").alias("path"), F.coalesce(F.lower("f.content_hash"), F.lit("")).alias("h"), F.expr("try_cast(try_cast(f.size_bytes as decimal(38, 4)) as bigint)").alias("size_bytes")
     )
     heads = numbered.select(*[F.col(c).alias(f"n_{c}") for c in TARGET], F.col("key").alias("n_key"), "ord")
     same = [listed[c].eqNullSafe(heads[f"n_{c}"]) for c in TARGET]

@@ -104,6 +104,13 @@ def dense_filtered(spark: SparkSession, root: str) -> DataFrame:
     return D.nearest(table(spark, root, "embeddings").where("label = 1"), _vector(spark, root), 20).select("id", "distance")
 
 
+@query()
+def dense_indexed(spark: SparkSession, root: str) -> DataFrame:
+    """The nearest rows by the index over cells; dense_topk is the exact scan."""
+    cells = D.build_cells(table(spark, root, "embeddings"), fresh_path(spark, "cells"))
+    return cells.nearest(spark, _vector(spark, root), 20)
+
+
 _FUSED = f"""{_BM25}, {_DIST}, sp as (select id, row_number() over (order by score desc, id) as sr from scores order by score desc, id limit 20),
 de as (select id, row_number() over (order by distance, id) as dr from dist order by distance, id limit 20),
 fused as (select coalesce(sp.id, de.id) as id, round(coalesce(1e0 / (6e1 + dr), 0e0) + coalesce(1e0 / (6e1 + sr), 0e0), 9) as score, cast(dr as int) as dense_rank, cast(sr as int) as sparse_rank from sp full join de on sp.id = de.id)"""

@@ -110,6 +110,13 @@ def test_snapshot_changes_by_hand(spark):
     }
 
 
+def test_sizes_of_any_json_type(spark):
+    doc = lambda when, size: json.dumps({"generated_at": when, "files": [{"path": "a", "content_hash": when[6], "size_bytes": size}]})
+    rows = [("m", None, "1", f"k{i}", doc(f"2025-0{i}-01T00:00:00Z", s), day(0), "x") for i, s in enumerate((1, "123", 12.0, "no", None), 1)]
+    got = {r.manifest_hash: r.size_bytes for r in snapshot_changes(spark.createDataFrame(rows, MANIFESTS)).collect()}
+    assert got == {"k2": 123, "k3": 12, "k4": None, "k5": None}
+
+
 def test_snapshot_changes_empty(spark):
     assert snapshot_changes(spark.createDataFrame([], MANIFESTS)).count() == 0
 

@@ -1,6 +1,7 @@
 """Chunk windows against brute force, written indexes, tool searches, ranks in ranges, scratch folders, catalog rules, versions."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -12,7 +13,7 @@ from lorekiln import session
 from lorekiln.functions import text as T
 from lorekiln.functions import url as U
 from lorekiln.functions import version as V
-from lorekiln.operators import apidoc, catalog, chunking, embedding, lexical, manifests, pages, search
+from lorekiln.operators import apidoc, catalog, chunking, dense, embedding, lexical, manifests, pages, search
 from lorekiln.operators.ranks import rank_in_ranges
 from lorekiln.streaming.indexing import latest_chunks, stream_chunks
 
@@ -221,3 +222,12 @@ def test_small_functions(spark):
     assert not one(V.is_removed(F.lit(None).cast("string"), F.lit("1")))
     assert tuple(one(T.query_parts(F.lit(" a module=x  b version=y version=3")))) == ("a b", "x", "3", None)
     assert not one(T.has_deprecations(F.lit(None).cast("array<string>"))) and one(U.is_http(F.lit(None).cast("string"))) is False
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_index_over_cells_recalls(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    cells = dense.build_cells(rows, str(tmp_path / "cells"))
+    assert spark.read.parquet(f"{cells.path}/vectors").count() == rows.where("embedding is not null").count()
+    assert dense.recall(rows, cells, every=200) >= 0.9
+    assert dense.build_cells(rows.limit(0), str(tmp_path / "none")).centres == []
