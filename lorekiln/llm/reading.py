@@ -61,7 +61,6 @@ _NAMES = re.compile(r"`[^`]*`|\b(?=\w)(?:https?://\S+|\w*[a-z0-9][A-Z]\w*|\w+(?:
 _HUMP = re.compile(r"[A-Z](?<=[a-z0-9].)")
 _JOINT = re.compile(r"[._/](?<=\w.)(?=\w)")
 _ENDS, _AFTER_END = frozenset(".!?…。！？:,"), " \t\u3000\"'”’»)]*_`"
-_LINES = re.compile(r"\r\n|\n|\r")
 _INDENT = re.compile(r" {4}|\t")
 _CLAUSE = re.compile("[,;—、]")
 _END = re.compile(r"[.!?…]\s+")
@@ -107,13 +106,13 @@ def _split(line: str) -> list[str]:
 def _prose(text: str) -> list[tuple[str, list[str]]]:
     lines: list[str] = []
     fence = block = False
-    for raw in _LINES.split(text):
-        if _FENCE.match(raw):
+    for raw in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        if ("```" in raw or "~~~" in raw) and _FENCE.match(raw):
             fence = not fence
             continue
         if fence:
             continue
-        if not block and _BLOCK_OPEN.search(raw):
+        if not block and ("\\" in raw or "<" in raw) and _BLOCK_OPEN.search(raw):
             block = not _BLOCK_SHUT.search(raw)
             continue
         if block:
@@ -126,7 +125,7 @@ def _prose(text: str) -> list[tuple[str, list[str]]]:
         line = line.strip()
         if not line or _NO_PROSE.match(line) or _QUOTED.match(line):
             continue
-        lines.append(_INNER_QUOTE.sub(" ", line) if _QUOTE_MARK.search(line) else line)
+        lines.append(_INNER_QUOTE.sub(" ", line) if ('"' in line or not line.isascii()) and _QUOTE_MARK.search(line) else line)
     out = []
     for line in lines:
         for s in _split(line):
