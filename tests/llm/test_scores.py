@@ -105,3 +105,14 @@ def test_weights_brute_force(spark):
 
 def test_weights_empty(spark):
     assert term_weights(spark.createDataFrame([], CHUNKS)).count() == 0
+
+
+def test_shared_rare_terms_need_no_weight(spark):
+    # lantern is rarer in a-0 than in the collection, so its weight there is 0; it is found all the same
+    texts = [("a-0", "a", "lantern lantern lantern " + "x y z " * 200), ("b-0", "b", "lantern " * 400), ("c-0", "c", "other")]
+    df = spark.createDataFrame([(*t, None, None) for t in texts], CHUNKS)
+    assert {(r.chunk_id, r.n, r.weight) for r in term_weights(df).where("term = 'lantern' and weight = 0").collect()} == {("a-0", 3, 0.0)}
+    found = shared_rare_terms(df)
+    assert {tuple(r) for r in found.collect()} == {("a-0", "lantern"), ("b-0", "lantern")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ln(" not in plan and "scalar-subquery" not in plan
